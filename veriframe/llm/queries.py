@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .langid import op7_language_id
+from .licenses import op4_license_scans
+from .packing import op3_best_fit_packing
 from .quality import op5_quality_classifier
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scans": op4_license_scans,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_language_id": op7_language_id,
 }
