@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from .ann import op6_nearest_neighbours
+from .knn import op9_exact_top_k
 from .langid import op7_language_id
 from .licenses import op4_license_scans
 from .packing import op3_best_fit_packing
 from .quality import op5_quality_classifier
+from .simhash import op8_simhash_near_dedup
+from .substrings import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scans": op4_license_scans,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_exact_top_k": op9_exact_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {}
