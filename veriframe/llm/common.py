@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Word separators of the text contracts: space and \t\n\v\f\r, what ``bytes.split()`` cuts at.
 LOCAL_CHECKPOINTS = "file:/tmp/checkpoints"
 
 
@@ -49,3 +49,25 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def packed(text: str) -> Column:
+    """The UTF-8 bytes of a text column, compressed: what a text weighs when it must be shuffled."""
+
+    @F.pandas_udf(T.BinaryType())
+    def pack(texts):
+        import pandas as pd
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(1)
+        return pd.Series([None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+    return pack(F.col(text))
+
+
+def unpacker():
+    """bytes of a ``packed`` value; none for a null."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda value: b"" if value is None else unpack(value)

@@ -7,6 +7,7 @@ from .knn import op9_exact_top_k
 from .langid import op7_language_id
 from .licenses import op4_license_scans
 from .packing import op3_best_fit_packing
+from .pieces import op10_piece_encoding
 from .quality import op5_quality_classifier
 from .simhash import op8_simhash_near_dedup
 from .substrings import op1_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_piece_encoding": op10_piece_encoding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
