@@ -161,6 +161,12 @@ def identify(documents: DataFrame, model: LanguageFilter, lang_column: str = "la
     return out.withColumns({lang_column: F.col(f"{both}.lang"), score_column: F.col(f"{both}.score")}).drop(both)
 
 
+def keep_identified(documents: DataFrame, model: LanguageFilter) -> DataFrame:
+    """The documents whose language can be told, with their own columns only."""
+    lang, score = fresh(documents, "identified_lang"), fresh(documents, "identified_score")
+    return identify(documents, model, lang, score).where(F.col(lang) != UNDETERMINED).select(*documents.columns)
+
+
 def training_rows(documents: DataFrame) -> DataFrame:
     return documents.where(id_crc_mod("doc_id", 4) != 2)
 

@@ -9,11 +9,13 @@ from .licenses import op4_license_scans
 from .packing import op3_best_fit_packing
 from .pieces import op10_piece_encoding
 from .quality import op5_quality_classifier
+from .quotes import OP2_SQL, op2_chat_formatting
 from .simhash import op8_simhash_near_dedup
 from .substrings import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scans": op4_license_scans,
     "op5_quality_classifier": op5_quality_classifier,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_piece_encoding": op10_piece_encoding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 BITS = 64
 DISTANCE = 2
@@ -63,8 +63,8 @@ def simhash(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, text_column: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long; one pass, no shuffle."""
+def fingerprints(documents: DataFrame, text_column: str = "text", *more: str) -> DataFrame:
+    """(doc_id, fp, ...): fp holds the 64 bits as a signed long; one pass, no shuffle."""
 
     @F.pandas_udf("long")
     def hashed(texts):
@@ -72,7 +72,7 @@ def fingerprints(documents: DataFrame, text_column: str = "text") -> DataFrame:
 
         return pd.Series(np.array([simhash(t) for t in texts], np.uint64).view(np.int64))
 
-    return documents.select("doc_id", hashed(F.col(text_column)).alias("fp"))
+    return documents.select("doc_id", hashed(F.col(text_column)).alias("fp"), *more)
 
 
 # ---- the hierarchy of one group
@@ -255,16 +255,32 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
+def print_components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root, doc_id): for each distinct ``fp`` of prints(doc_id, fp) its component and smallest id."""
+    smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    roots = components(link_forest(smallest.select("fp"), distance))
+    return smallest.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
+
+
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``documents``."""
     prints = materialize(fingerprints(documents), "fingerprints")
-    smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    roots = components(link_forest(smallest.select("fp"), distance))
-    rooted = smallest.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    rooted = print_components(prints, distance)
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_print = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component of ``documents``, the one with the smallest id (null ids last)."""
+    key = fresh(documents, "row_key")
+    marked = documents.withColumn(key, F.md5(F.concat_ws("\x01", F.col("doc_id").cast("string"), F.col("text"))))
+    prints = materialize(fingerprints(marked.select("doc_id", "text", F.col(key).alias("key")), "text", "key"), "fingerprints")
+    roots = print_components(prints, distance).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
+    chosen = prints.join(roots, "fp").groupBy("root").agg(first.alias(key)).select(key)
+    return marked.join(chosen, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
+
+
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
