@@ -2,10 +2,13 @@
 
 Of every ``WINDOW`` words in a row the smallest hash of ``ANCHOR`` words in a row is the window's
 fingerprint; equal windows have equal fingerprints, and neighbours mostly share theirs, so that about
-one in fourteen positions is kept. The index is a list of immutable runs: bucketed tables of (h, doc, n)
-sorted by h. A new batch becomes a run and is merge-joined, bucket by bucket and without a shuffle, with
-the runs before it; fingerprints met twice name the windows that may repeat. Those windows alone are
-verified by 128 bits of their whole word sequence. When runs outnumber ``MAX_RUNS`` they are compacted.
+one in fourteen positions is kept. The index is a list of immutable runs: bucketed tables of (h, u, doc)
+sorted by h, where u is a hash of all words of the windows that share h in a row (a unit). A new batch
+becomes a run and is merge-joined, bucket by bucket and without a shuffle, with the runs before it.
+Fingerprints met twice are suspects. Their units are verified by h and u together, 128 bits: a unit that
+stands elsewhere repeats as a whole. Where a fingerprint has units of different contents, as at the ends of
+a shared passage, single windows are verified by 128 bits of their word sequence; a content that many
+documents share is looked at in one of them. When runs outnumber ``MAX_RUNS`` they are compacted.
 
 Results are sets of hashes of repeated windows, so they don't depend on the order of rows or on unique ids.
 
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, table
+from .common import fresh, materialize, packed, table, unpacker
 
 WINDOW = 35
 ANCHOR = 8
@@ -93,12 +96,32 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-def window_fingerprints(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every anchor, fingerprint of every window)."""
-    if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    anchors = sequence_hashes(words, anchor)
-    return anchors, sliding_min(anchors, window - anchor + 1)
+class Units:
+    """Windows of a text by units: runs of windows with the same fingerprint (``h``); ``u`` is the hash of
+    all words of a unit, ``first`` and ``last`` are its windows. ``places`` is 2 where the fingerprint has
+    more places in the text than units, so that windows may repeat within one."""
+
+    def __init__(self, words: np.ndarray, window: int, anchor: int):
+        self.words, self.window = words, window
+        self.h = self.u = np.zeros(0, np.uint64)
+        self.first = self.last = self.places = np.zeros(0, np.int64)
+        if len(words) < window:
+            return
+        anchors = sequence_hashes(words, anchor)
+        low = sliding_min(anchors, window - anchor + 1)
+        cuts = np.flatnonzero(low[1:] != low[:-1]) + 1
+        self.first, self.last = np.append(0, cuts), np.append(cuts, len(low)) - 1
+        self.h = low[self.first]
+        ends = self.last + window
+        self.u = _mixed(_stretch_hashes(words, self.first, ends, _WORD_BASES[1]) + (ends - self.first).astype(np.uint64))
+        own, places = np.unique(anchors, return_counts=True)
+        kept, units = np.unique(self.h, return_counts=True)
+        more = kept[places[np.searchsorted(own, kept)] > units]
+        self.places = 1 + np.isin(self.h, more)
+
+    def inside(self, which: np.ndarray) -> np.ndarray:
+        """For every window whether its unit is one of ``which`` (booleans by unit)."""
+        return np.repeat(which, self.last - self.first + 1)
 
 
 def _raw(text: str | None) -> bytes:
@@ -122,28 +145,27 @@ def keyed(documents: DataFrame, *more: str) -> DataFrame:
 
 
 def document_fingerprints(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(h, doc, n): the fingerprints of each document's windows and their places in it; no shuffle."""
+    """(doc, h, u, n): fingerprint and content of each document's units and the fingerprint's places; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                anchors, low = window_fingerprints(_words(_raw(text.as_py())), window, anchor)
-                if len(low):
-                    own, places = np.unique(anchors, return_counts=True)
-                    kept = np.unique(low)
-                    parts.append((doc, len(kept), kept, places[np.searchsorted(own, kept)]))
+                units = Units(_words(_raw(text.as_py())), window, anchor)
+                if len(units.h):
+                    parts.append((doc, len(units.h), units.h, units.u, units.places))
             if parts:
-                yield _rows(parts, ["doc", "h", "n"])
+                yield _rows(parts, ["doc", "h", "u", "n"])
 
-    return keyed(documents).mapInArrow(run, "doc long, h long, n long")
+    return keyed(documents).mapInArrow(run, "doc long, h long, u long, n long")
 
 
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints, kept as bucketed tables of the session's catalog."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
+        self.spark, self.max_runs, self.runs, self.batches = spark, max_runs, [], 0
+        self.repeated: list[DataFrame] = []  # fingerprints whose earlier rows have been returned
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> str:
@@ -152,35 +174,34 @@ class FingerprintIndex:
         dealt.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
         return name
 
-    def history(self) -> DataFrame | None:
-        tables = [self.spark.table(r) for r in self.runs]
-        out = tables[0] if tables else None
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out
-
     def append(self, fingerprints: DataFrame) -> DataFrame:
-        """Adds a batch as a new run. Returns (doc, h) of the batch and of the history for every fingerprint
-        of the batch that was met before or has a second place in the batch."""
+        """Adds a batch as a new run. Returns (batch, doc, h, u, n) of the batch for every fingerprint that was
+        met before or has a second place in the batch, and of the history where it becomes so only now."""
         earlier = list(self.runs)
-        self.runs.append(self._write(fingerprints))
+        self.runs.append(self._write(fingerprints.select(F.lit(self.batches).alias("batch"), "doc", "h", "u", "n")))
+        self.batches += 1
         new = self.spark.table(self.runs[-1])
         places = new.groupBy("h").agg(F.sum("n").alias("n"))
-        met = None
-        for run in earlier:
-            seen = places.join(self.spark.table(run).select("h").distinct(), "h").select("h")
-            met = seen if met is None else met.union(seen)
-        twice = places.where("n > 1").select("h")
-        again = materialize((twice if met is None else twice.union(met)).distinct(), "repeated")
-        out = new.join(again, "h").select("doc", "h")
+        met = [places.join(self.spark.table(run).select("h").distinct(), "h").select("h") for run in earlier]
+        again = places.where("n > 1").select("h")
+        for seen in met:
+            again = again.unionByName(seen)
+        again = materialize(again.distinct(), "repeated")
+        now = again
+        for known in self.repeated:
+            now = now.join(known, "h", "left_anti")
+        self.repeated.append(again)
+        out = new.join(again, "h")
         for run in earlier:
-            out = out.unionByName(self.spark.table(run).join(again, "h").select("doc", "h"))
-        return out
+            out = out.unionByName(self.spark.table(run).join(now, "h"))
+        return out.select("batch", "doc", "h", "u", "n")
 
     def compact(self, force: bool = False) -> None:
         """Merges all runs into one when they are too many; call it when no plan reads them any more."""
         if len(self.runs) > (1 if force else self.max_runs):
-            merged = self.history().groupBy("h", "doc").agg(F.sum("n").alias("n"))
+            merged = self.spark.table(self.runs[0])
+            for run in self.runs[1:]:
+                merged = merged.unionByName(self.spark.table(run))
             old, self.runs = self.runs, [self._write(merged)]
             for run in old:
                 self.spark.sql(f"DROP TABLE {run}")
@@ -191,100 +212,138 @@ class FingerprintIndex:
         self.runs = []
 
 
-def repeated_windows(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """(doc, windows): for each document with repeats the first half of the hashes of its repeated windows."""
-    spark = documents.sparkSession
-    prints = materialize(document_fingerprints(documents, window, anchor).withColumn("batch", F.pmod("doc", F.lit(batches))), "fingerprints")
-    index = FingerprintIndex(spark)
-    suspects = None
+def suspect_units(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
+    """(doc, same, open) for each document with suspects: contents of units that stand elsewhere as a whole,
+    and of units whose windows must be looked at one by one. A unit that stands elsewhere is looked at in one
+    document only, and only if its fingerprint has other contents too."""
+    index = FingerprintIndex(documents.sparkSession)
+    found = None
     for b in range(batches):
-        found = materialize(index.append(prints.where(F.col("batch") == b).drop("batch")), "suspects")
-        suspects = found if suspects is None else suspects.unionByName(found)
+        batch = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)
+        part = materialize(index.append(document_fingerprints(batch, window, anchor)), "suspects")
+        found = part if found is None else found.unionByName(part)
         index.compact()
     index.drop()
-    by_doc = suspects.groupBy("doc").agg(F.collect_set("h").alias("hs"))  # as many as a document has windows at most
+    one = F.struct("batch", "doc")
+    contents = found.groupBy("h", "u").agg(F.count("*").alias("count"), F.min(one).alias("first"))
+    kinds = contents.groupBy("h").agg(F.count("*").alias("kinds"))
+    known = contents.join(kinds, "h")
+    same = F.col("count") > 1
+    look = ~same | ((F.col("kinds") > 1) & (F.col("first") == one))
+    rows = found.join(known, ["h", "u"])
+    return rows.groupBy("doc").agg(F.collect_set(F.when(same, F.col("u"))).alias("same"), F.collect_set(F.when(look, F.col("u"))).alias("open"))
+
+
+def repeated_windows(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
+    """(doc, same, windows) for each document with repeats: contents of its units that stand elsewhere as a
+    whole, and first halves of the hashes of other repeated windows."""
+    suspects = materialize(suspect_units(documents, window, anchor, batches), "units")
 
     def verify(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = unpacker()
         for batch in groups:
             parts = []
-            for doc, text, hs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words = _words(_raw(text.as_py()))
-                low = window_fingerprints(words, window, anchor)[1]
-                at = np.flatnonzero(np.isin(low, hs.values.to_numpy().view(np.uint64)))
-                if not len(at):
-                    continue
-                a, first, n = np.unique(sequence_hashes(words, window)[at], return_index=True, return_counts=True)
-                parts.append((doc, len(a), a, sequence_hashes(words, window, 1)[at[first]], n))
+            for doc, text, same, look in zip(*(batch.column(i) for i in range(4)), strict=True):
+                words = _words(unpack(text.as_py()))
+                units = Units(words, window, anchor)
+                sure = units.inside(np.isin(units.u, _hashes(same)))
+                at = np.flatnonzero(units.inside(np.isin(units.u, _hashes(look))))
+                if len(at):
+                    a, first, n = np.unique(sequence_hashes(words, window)[at], return_index=True, return_counts=True)
+                    b = sequence_hashes(words, window, 1)[at[first]]
+                    parts.append((doc.as_py(), len(a), a, b, np.where(sure[at[first]], 2, n)))
             if parts:
                 yield _rows(parts, ["doc", "a", "b", "n"])
 
-    windows = keyed(documents).join(by_doc, "doc").select("doc", "text", "hs").mapInArrow(verify, "doc long, a long, b long, n long")
-    windows = materialize(windows, "windows")
+    texts = documents.select(F.xxhash64("doc_id").alias("doc"), packed("text").alias("text"))
+    opened = texts.join(suspects.where(F.size("open") > 0), "doc").select("doc", "text", "same", "open")
+    windows = materialize(opened.mapInArrow(verify, "doc long, a long, b long, n long"), "windows")
     twice = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
-    return windows.join(twice, ["a", "b"]).groupBy("doc").agg(F.collect_set("a").alias("windows"))
+    back = windows.join(twice, ["a", "b"]).groupBy("doc").agg(F.collect_set("a").alias("windows"))
+    return suspects.select("doc", "same").join(back, "doc", "left")
+
+
+def _hashes(scalar: pa.ListScalar) -> np.ndarray:
+    return scalar.values.to_numpy().view(np.uint64) if scalar.is_valid else np.zeros(0, np.uint64)
 
 
-def covered(raw: bytes, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered(raw: bytes, same: np.ndarray, windows: np.ndarray, window: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, covered by a repeated window) of the words of a text."""
     starts, ends = word_bounds(raw)
     hit = np.zeros(len(starts) + 1, np.int64)
-    if len(repeated) and len(starts) >= window:
-        at = np.flatnonzero(np.isin(sequence_hashes(word_hashes(raw, starts, ends), window), repeated))
+    if (len(same) or len(windows)) and len(starts) >= window:
+        words = word_hashes(raw, starts, ends)
+        units = Units(words, window, anchor)
+        again = units.inside(np.isin(units.u, same))
+        if len(windows):
+            again |= np.isin(sequence_hashes(words, window), windows)
+        at = np.flatnonzero(again)
         hit[at] += 1  # starts are distinct, and so are ends
         hit[at + window] -= 1
     return starts, ends, np.cumsum(hit[:-1]) > 0
 
 
-def kept_text(text: str | None, repeated: np.ndarray, window: int = WINDOW) -> tuple[int, int, bytes]:
+def kept_text(raw: bytes, same: np.ndarray, windows: np.ndarray, window: int = WINDOW) -> tuple[int, int, bytes]:
     """(words, removed words, kept words joined by one space)."""
-    raw = _raw(text)
-    starts, ends, gone = covered(raw, repeated, window)
+    starts, ends, gone = covered(raw, same, windows, window)
     if not gone.any():
         return len(starts), 0, b" ".join(raw.split())
     kept = zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)
     return len(starts), int(gone.sum()), b" ".join(raw[a:b] for a, b in kept)
 
 
+def _joined(documents: DataFrame, window: int) -> tuple[DataFrame, str, str, str]:
+    """``documents`` with packed texts and their repeats, and the names of these columns."""
+    key, same, windows = (fresh(documents, n) for n in ("doc", "same", "windows"))
+    found = repeated_windows(documents, window).toDF(key, same, windows)
+    return documents.withColumn("text", packed("text")).withColumn(key, F.xxhash64("doc_id")).join(found, key, "left"), key, same, windows
+
+
 def substring_dedup(documents: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of ``documents``, or with the kept text itself."""
-    found = repeated_windows(documents, window)
-    joined = keyed(documents, "doc_id").join(found, "doc", "left").select("doc_id", "text", "windows")
+    joined, _, same, windows = _joined(documents.select("doc_id", "text"), window)
     schema = T.StructType([documents.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if with_text:
         schema.add("kept", T.StringType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = unpacker()
         for batch in batches:
             columns: list[list] = [[] for _ in schema.names[1:]]
-            for text, windows in zip(batch.column(1), batch.column(2), strict=True):
-                repeated = windows.values.to_numpy().view(np.uint64) if windows.is_valid else np.zeros(0, np.uint64)
-                words, removed, kept = kept_text(text.as_py(), repeated, window)
-                row = (words, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))
+            for text, units, single in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                words, removed, kept = kept_text(unpack(text.as_py()), _hashes(units), _hashes(single), window)
+                row = (words, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None)
                 for column, value in zip(columns, row, strict=False):
                     column.append(value)
             types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.select("doc_id", "text", same, windows).mapInArrow(cut, schema)
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with the repeated words taken out of the texts that have some (their kept words joined by
     one space); other texts, columns and the number of rows stay. Where there is n_chars it follows."""
-    found, name, both = repeated_windows(documents, window), fresh(documents, "windows"), fresh(documents, "kept")
+    joined, key, same, windows = _joined(documents, window)
+    left, changed = fresh(documents, "left"), fresh(documents, "changed")
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
 
-    @F.pandas_udf(T.StringType())
-    def kept(texts, windows):
+    @F.pandas_udf(kind)
+    def kept(texts, units, single):
         import pandas as pd
 
-        return pd.Series([kept_text(t, np.asarray(w, np.int64).view(np.uint64), window)[2].decode("utf-8", "replace") for t, w in zip(texts, windows, strict=True)])
+        unpack, rows = unpacker(), []
+        array = lambda x: np.asarray([] if x is None else x, np.int64).view(np.uint64)
+        for t, u, w in zip(texts, units, single, strict=True):
+            raw = unpack(t)
+            _, removed, short = kept_text(raw, array(u), array(w), window) if u is not None else (0, 0, b"")
+            rows.append((None if t is None else (short if removed else raw).decode("utf-8", "replace"), bool(removed)))
+        return pd.DataFrame(rows, columns=["text", "changed"])
 
-    key = fresh(documents, "doc")
-    joined = documents.withColumn(key, F.xxhash64("doc_id")).join(found.select(F.col("doc").alias(key), F.col("windows").alias(name)), key, "left")
-    out = joined.withColumn(both, F.when(F.col(name).isNotNull(), kept("text", F.coalesce(name, F.array().cast("array<bigint>")))).otherwise(F.col("text")))
-    out = out.withColumn("text", F.col(both))
+    out = joined.withColumn(left, kept("text", same, windows))
+    out = out.withColumn(changed, F.col(f"{left}.changed")).withColumn("text", F.col(f"{left}.text"))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col(name).isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(changed), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
 
 
