@@ -7,7 +7,7 @@ bucket, 0 for its own one. Probes of all tables are merged in that order until t
 ``VISITS`` rows for each distinct row of the shard; the candidates are ranked by their exact cosine.
 
 The order, not a cap on partners, decides what is seen: with clustered vectors all near ones lie in the
-first buckets; with vectors as unrelated as random ones three quarters of a shard are ranked for 0.98 recall
+first buckets; with vectors as unrelated as random ones nine tenths of a shard are ranked for 0.98 recall
 (tests/llm/test_search.py measures it). Equal vectors are one row of the tables. More edge cases:
 ``shards``; zero vectors take no part.
 """
@@ -24,9 +24,9 @@ from .shards import best_rows, home_shard, keep_best, search_shards, shard_count
 TOP = 5
 QUERY_EVERY = 50
 TABLES = 8
-FUNCTIONS = 6
-WIDTH = 0.9
-VISITS = 1.3
+FUNCTIONS = 4
+WIDTH = 0.8
+VISITS = 2.0
 SEED = 20
 _PROBED_TOGETHER = 32
 
@@ -39,14 +39,15 @@ def _norms(v: np.ndarray) -> np.ndarray:
 class HashTables:
     def __init__(self, unit: np.ndarray, tables: int, functions: int, width: float, seed: int = SEED):
         draw = np.random.default_rng(seed)  # the same functions in every shard
-        self.width, self.functions, self.rows, self.keys = width, [], [], []
+        self.width, self.functions, self.keys, self.bucket, sizes = width, [], [], [], []
         for _ in range(tables):
             a, b = draw.normal(size=(unit.shape[1], functions)), draw.uniform(0, width, functions)
             keys, where, counts = np.unique(np.floor((unit @ a + b) / width), axis=0, return_inverse=True, return_counts=True)
             self.functions.append((a, b))
             self.keys.append(keys)
-            self.rows += np.split(np.argsort(where.ravel(), kind="stable"), np.cumsum(counts)[:-1])
-        self.sizes = np.array([len(r) for r in self.rows])
+            self.bucket.append(where.ravel() + sum(map(len, sizes)))
+            sizes.append(counts)
+        self.sizes = np.concatenate(sizes)
 
     def probe_scores(self, unit: np.ndarray) -> np.ndarray:
         """(query, bucket of any table): squared distance of the projections to the bucket, in widths."""
@@ -61,9 +62,14 @@ class HashTables:
         """For each query the distinct rows of the first buckets that name ``visits`` rows together."""
         for i in range(0, len(unit), _PROBED_TOGETHER):
             for score in self.probe_scores(unit[i : i + _PROBED_TOGETHER]):
-                order = np.argsort(score, kind="stable")
+                order = np.argsort(score)
                 n = int(np.searchsorted(np.cumsum(self.sizes[order]), visits)) + 1
-                yield np.unique(np.concatenate([self.rows[j] for j in order[:n].tolist()]))
+                visited = np.zeros(len(score), bool)
+                visited[order[:n]] = True
+                named = visited[self.bucket[0]]
+                for bucket in self.bucket[1:]:
+                    named |= visited[bucket]
+                yield np.flatnonzero(named)
 
 
 def hash_index(k: int, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, visits: float = VISITS):
@@ -72,15 +78,19 @@ def hash_index(k: int, tables: int = TABLES, functions: int = FUNCTIONS, width:
         by_vector = np.split(ids[np.argsort(where.ravel(), kind="stable")], np.cumsum(np.bincount(where.ravel()))[:-1])
         copies = [c[: k + 1] for c in by_vector]  # ids rise; one may be the query's own
         norms = _norms(distinct)
-        index = HashTables(distinct / norms[:, None], tables, functions, width)
+        unit = distinct / norms[:, None]
+        index, short = HashTables(unit, tables, functions, width), unit.astype(np.float32)
+        slack = 1e-6 * max(8, unit.shape[1])  # more than single precision can be off
 
         def search(qids, queries, _):
             found = []
             qnorms = _norms(queries)
-            for i, rows in enumerate(index.candidates(queries / qnorms[:, None], visits * len(distinct))):
+            units = queries / qnorms[:, None]
+            for i, rows in enumerate(index.candidates(units, visits * len(distinct))):
+                if len(rows) > 2 * (k + 1):
+                    near = short[rows] @ units[i].astype(np.float32)
+                    rows = rows[near >= np.partition(near, -(k + 1))[-(k + 1)] - slack]
                 s = (distinct[rows] * queries[i]).sum(1) / (norms[rows] * qnorms[i])
-                if len(s) > 2 * (k + 1):
-                    rows, s = (x[s >= np.partition(s, -(k + 1))[-(k + 1)]] for x in (rows, s))
                 vec = np.concatenate([copies[r] for r in rows.tolist()])
                 s = np.repeat(s, [len(copies[r]) for r in rows.tolist()])
                 keep = vec != qids[i]
