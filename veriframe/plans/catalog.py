@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from veriframe.plans import text_plans
+
+_MODULES = (text_plans,)
+
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: statement for m in _MODULES for name, statement in m.ORACLE_SQL.items()}
