@@ -47,18 +47,18 @@ def quoted_lines(text: Column) -> Column:
 
 
 def paragraphs(lines: Column) -> Column:
-    """array of (level, text): normalised paragraphs, blank ones left out."""
+    """array of (level, text): normalised paragraphs, blank ones left out. ``lines`` is a stored column."""
     blank = lambda i: _normal(F.get(lines, i)["content"]) == ""
     begins = lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]) | blank(i) | blank(i - 1)
     starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins)
-    texts = F.transform(lines, lambda x: x["content"])
-    whole = F.transform(
-        starts,
+    once = F.transform(F.array(F.struct(starts.alias("starts"), F.transform(lines, lambda x: x["content"]).alias("texts"))), lambda o: F.transform(
+        o["starts"],
         lambda s, k: F.struct(
             F.get(lines, s)["level"].alias("level"),
-            _normal(F.array_join(F.slice(texts, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s), " ")).alias("text"),
+            _normal(F.array_join(F.slice(o["texts"], s + 1, F.coalesce(F.get(o["starts"], k + 1), F.size(lines)) - s), " ")).alias("text"),
         ),
-    )
+    ))
+    whole = F.get(once, 0)  # starts and texts are computed once per message
     return F.filter(whole, lambda p: p["text"] != "")
 
 
