@@ -91,16 +91,25 @@ def fuzzy(a: Column | str, b: Column | str) -> Column:
     return edit_similarity(alnum(a), alnum(b))
 
 
+def path_form(c: Column | str) -> Column:
+    """struct(text, tokens, last, tail) of a > path: all that a comparison of paths needs, computed once per row."""
+    joined = lambda parts: F.array_join(parts, " ")
+    return let(
+        path_parts(c),
+        lambda p: F.struct(
+            joined(p).alias("text"), token_set(joined(p)).alias("tokens"), F.try_element_at(p, F.lit(-1)).alias("last"), alnum(F.try_element_at(p, F.lit(-1))).alias("tail")
+        ),
+    )
+
+
 def path_similarity(a: Column, b: Column) -> Column:
-    """Of two ``path_parts``: null if one is empty (a path not observed is no evidence against the other)."""
-    left, right = F.array_join(a, " "), F.array_join(b, " ")
-    token = jaccard(left, right)
-    tail_a, tail_b = F.element_at(a, -1), F.element_at(b, -1)
-    tail = F.when(tail_a == tail_b, 1.0).otherwise(fuzzy(tail_a, tail_b))
+    """Of two ``path_form``: null if one is empty (a path not observed is no evidence against the other)."""
+    token = set_overlap(a["tokens"], b["tokens"])
+    tail = F.when(a["last"] == b["last"], 1.0).otherwise(edit_similarity(a["tail"], b["tail"]))
     return (
-        F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(None).cast("double"))
-        .when(left == right, 1.0)
-        .otherwise(F.greatest(token, token * 0.65 + tail * 0.35))
+        F.when((a["text"] == "") | (b["text"] == ""), F.lit(None).cast("double"))
+        .when(a["text"] == b["text"], 1.0)
+        .otherwise(let(F.struct(token.alias("token"), tail.alias("tail")), lambda x: F.greatest(x["token"], x["token"] * 0.65 + x["tail"] * 0.35)))
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from veriframe.functions import text
 
 CUTOFF = 0.78
-#: Keys with more rows than this on a side are left to their more selective blocking keys.
 _RANK = ("exact_title", "compatible", "score_9", "path_9")
 
 
@@ -40,7 +39,7 @@ def candidate_pairs(source: DataFrame, target: DataFrame, blocks: Column) -> Dat
 def scored_edges(source: DataFrame, target: DataFrame, pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(source_id, target_id, exact_title, compatible, score, path_score) of pairs at or above the cutoff."""
     form = lambda df, side: df.select(
-        f"{side}_id", text.title_key("name").alias(f"{side}_title"), text.alnum("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"), text.path_parts("path").alias(f"{side}_path")
+        f"{side}_id", text.title_key("name").alias(f"{side}_title"), text.alnum("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"), text.path_form("path").alias(f"{side}_path")
     )
     rows = pairs.join(form(source, "source"), "source_id").join(form(target, "target"), "target_id")
     rows = rows.withColumns({
@@ -61,18 +60,27 @@ def unambiguous(edges: DataFrame) -> DataFrame:
     return edges.join(touched.select("source_id").distinct(), "source_id", "left_anti").join(touched.select("target_id").distinct(), "target_id", "left_anti")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in the session's checkpoint folder; one is set only where there is none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints")
+    return df.checkpoint()
+
+
 def match_plan(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """One-to-one assignment: in rounds, edges that are the best of both their rows are taken and their rows leave;
     this is the greedy assignment in order of rank. Each round ends the lineage; six rounds are typical."""
     order = [F.desc("exact_title"), F.desc("compatible"), F.desc("score_9"), F.desc("path_9"), F.asc("source_id"), F.asc("target_id")]
-    left, plan = unambiguous(edges).checkpoint(), None
+    left, plan = settled(unambiguous(edges)), None
     for _ in range(rounds):
         best = left.withColumn("s", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
-        best = best.withColumn("t", F.row_number().over(Window.partitionBy("target_id").orderBy(*order))).where("s = 1 and t = 1").drop("s", "t").checkpoint()
+        best = best.withColumn("t", F.row_number().over(Window.partitionBy("target_id").orderBy(*order))).where("s = 1 and t = 1").drop("s", "t")
+        best = settled(best)
         if best.isEmpty():
             break
         plan = best if plan is None else plan.unionByName(best)
-        left = left.join(best.select("source_id"), "source_id", "left_anti").join(best.select("target_id"), "target_id", "left_anti").checkpoint()
+        left = settled(left.join(best.select("source_id"), "source_id", "left_anti").join(best.select("target_id"), "target_id", "left_anti"))
     method = F.when(F.col("exact_title"), "EXACT_TITLE").when(F.col("compatible"), "TYPE_COMPATIBLE").otherwise("FUZZY")
     return (left if plan is None else plan).withColumn("method", method)
 
