@@ -186,3 +186,40 @@ def test_streams(spark, tmp_path):
     assert final == {0: "v48", 1: "v49", 2: "v47"}
     same = {r.user_id: r.event_type for r in ledger.latest_values(spark.read.parquet(str(tmp_path / "e.parquet")), "user_id", "event_id", "event_type").collect()}
     assert final == same
+
+
+def test_asset_and_link_evidence(spark):
+    sha = "ab" * 32
+    other = "cd" * 32
+    src = spark.createDataFrame([(1, "Rail Plan.pdf", 100, sha), (1, "Only Here.docx", 5, None), (1, "rubric.pdf", 9, None), (2, "Guide Rail.pdf", 7, sha), (2, "gone map.pdf", 1, None), (3, "lost notes.pdf", 1, None)], "id int, name string, size int, sha256 string")
+    tgt = spark.createDataFrame([(11, "rail-plan.pdf", 100, sha), (11, "rubric.PDF", 9, other), (13, "only_here.docx", 6, None), (13, "x.pdf", 77, sha)], "id int, name string, size int, sha256 string")
+    pairs = spark.createDataFrame([(1, 11, 0.9, 0.9), (2, 12, 0.9, None), (3, 13, None, None)], "source_id int, target_id int, asset_confidence double, link_confidence double")
+    from veriframe.operators import comparison
+
+    got = {(r.source_id, r.name): (r.state, r.method, r.carrier) for r in comparison.asset_evidence(pairs, src, tgt).collect()}
+    assert got[1, "Rail Plan.pdf"] == ("PRESENT", "SHA256_EXACT", None)
+    assert got[1, "Only Here.docx"][0] == "RELOCATED" and got[1, "Only Here.docx"][2] == 13
+    assert got[1, "rubric.pdf"][:2] == ("PRESENT", "NAME_SIZE_EXACT")
+    assert got[2, "Guide Rail.pdf"] == ("RELOCATED", None, 11) and got[2, "gone map.pdf"][0] == "MISSING"
+    assert got[3, "lost notes.pdf"][0] == "UNRESOLVED"
+    links = lambda rows: spark.createDataFrame(rows, "id int, link string")
+    out = comparison.link_evidence(pairs, links([(1, "a"), (1, "b"), (1, "c"), (2, "c")]), links([(11, "a"), (13, "b")]))
+    assert {(r.source_id, r.link): r.state for r in out.collect()} == {(1, "a"): "PRESENT", (1, "b"): "RELOCATED", (1, "c"): "MISSING", (2, "c"): "UNRESOLVED"}
+
+
+def test_item_fidelity_takes_nothing_for_what_was_not_observed(spark):
+    from veriframe.operators import comparison
+
+    zero = {f"{k}_{s}": 0 for k in ("asset", "link") for s in ("expected", "present", "relocated", "missing", "unresolved")}
+    rows = [
+        {"source_id": 1, "compatible": True, "path_score": None, "content": None, "published": None} | zero,
+        {"source_id": 2, "compatible": True, "path_score": 1.0, "content": "VERIFIED", "published": True} | zero | {"asset_expected": 2, "asset_present": 2},
+        {"source_id": 3, "compatible": True, "path_score": 0.5, "content": "VERIFIED", "published": True} | zero | {"asset_expected": 2, "asset_present": 1, "asset_unresolved": 1},
+        {"source_id": 4, "compatible": False, "path_score": 1.0, "content": "VERIFIED", "published": False} | zero,
+    ]
+    schema = "source_id int, compatible boolean, path_score double, content string, published boolean, " + ", ".join(f"{k} long" for k in zero)
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    got = {r.source_id: (r.fidelity, r.coverage, r.issues, r.verdict) for r in comparison.item_fidelity(df).collect()}
+    assert got == {1: (100, 45, "PAYLOAD_UNVERIFIED", "UNVERIFIED"), 2: (100, 90, "", "VERIFIED"), 3: (94, 80, "MOVED_ITEM,PAYLOAD_UNVERIFIED", "MOVED"), 4: (71, 70, "TYPE_MUTATION,UNPUBLISHED", "TYPE_MUTATION")}
+    raw = {r.source_id: r.verdict for r in comparison.item_fidelity(df, raw_snapshot=True).collect()}
+    assert raw[4] == "TYPE_MUTATION" and raw[2] == "VERIFIED"

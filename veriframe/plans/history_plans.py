@@ -11,10 +11,10 @@ from veriframe.sources.tables import table
 
 def _snapshots(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
-    before = o.where(F.pmod("o_orderkey", F.lit(5)) != 0).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    moved = F.when(F.pmod("o_orderkey", F.lit(7)) == 0, "X").otherwise(F.col("o_orderstatus"))
-    unseen = F.when(F.pmod("o_orderkey", F.lit(11)) != 0, F.col("o_orderpriority"))
-    after = o.where(F.pmod("o_orderkey", F.lit(6)) != 0).select("o_orderkey", moved.alias("status"), unseen.alias("priority"))
+    before = o.where("o_orderpriority != '1-URGENT'").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    moved = F.when(F.col("o_totalprice") > 400_000, "X").otherwise(F.col("o_orderstatus"))
+    unseen = F.when(F.col("o_totalprice") >= 50_000, F.col("o_orderpriority"))
+    after = o.where("o_orderstatus != 'F'").select("o_orderkey", moved.alias("status"), unseen.alias("priority"))
     return before, after
 
 
@@ -106,7 +106,7 @@ def text_budget(spark, sf_dir: str) -> DataFrame:
 
 
 def chunk_reassembly(spark, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("(conv_id % 9 != 0 or turn != 1) and (conv_id % 13 != 0 or turn != 0)")
+    c = table(spark, sf_dir, "conversations").where("role != 'system'")
     return history.chunk_contiguity(c, "conv_id", "turn")
 
 
@@ -166,8 +166,8 @@ QUERIES = {f.__name__: f for f in (
     module_forward_fill, text_budget, chunk_reassembly, multiset_contract, ordered_contract, hierarchy_paths, tree_diagnostics, dependency_closure, json_props,
 )}
 
-_DIFF = """WITH b AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 5 <> 0),
-    a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS p FROM orders WHERE o_orderkey % 6 <> 0),
+_DIFF = """WITH b AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderpriority <> '1-URGENT'),
+    a AS (SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_totalprice >= 50000 THEN o_orderpriority END AS p FROM orders WHERE o_orderstatus <> 'F'),
     j AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, b.o_orderkey AS kb, a.o_orderkey AS ka,
         array_to_string(list_filter([CASE WHEN b.s <> a.s THEN 'status' END, CASE WHEN b.p <> a.p THEN 'priority' END], lambda x: x IS NOT NULL), ',') AS f FROM b FULL JOIN a ON a.o_orderkey = b.o_orderkey),
     d AS (SELECT o_orderkey, CASE WHEN kb IS NULL THEN 'AFTER_ONLY' WHEN ka IS NULL THEN 'BEFORE_ONLY' WHEN f <> '' THEN 'CHANGED' ELSE 'STABLE' END AS kind, CASE WHEN kb IS NOT NULL AND ka IS NOT NULL THEN f END AS fields FROM j)"""
@@ -210,7 +210,7 @@ ORACLE_SQL = {
     "text_budget": """WITH b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n_chars <= 60000 AS kept FROM documents)
         SELECT source, count(*) FILTER (kept) AS kept, count(*) AS documents, sum(n_chars) FILTER (kept)::BIGINT AS chars FROM b GROUP BY source""",
     "chunk_reassembly": """SELECT conv_id, count(*) AS chunks, CASE WHEN count(DISTINCT turn) < count(*) THEN 'DUPLICATE_INDEX' WHEN min(turn) <> 0 OR max(turn) <> count(*) - 1 THEN 'NOT_CONTIGUOUS' ELSE 'COMPLETE' END AS state
-        FROM conversations WHERE (conv_id % 9 <> 0 OR turn <> 1) AND (conv_id % 13 <> 0 OR turn <> 0) GROUP BY conv_id""",
+        FROM conversations WHERE role <> 'system' GROUP BY conv_id""",
     "multiset_contract": """WITH e AS (SELECT l_partkey, count(*) AS expected FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL), o AS (SELECT l_partkey, count(*) AS observed FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
         j AS (SELECT l_partkey, coalesce(expected, 0) AS expected, coalesce(observed, 0) AS observed FROM e FULL JOIN o USING (l_partkey))
         SELECT *, CASE WHEN observed = 0 THEN 'MISSING' WHEN expected = 0 THEN 'UNEXPECTED' ELSE 'COUNT' END AS kind FROM j WHERE expected <> observed""",

@@ -71,7 +71,7 @@ def zscore_imbalance(spark, sf_dir: str) -> DataFrame:
 
 
 def snapshot_coherence(spark, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("k"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus != 'F'").select(F.col("o_orderkey").alias("k"))
     return summaries.coherence(o, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
@@ -118,7 +118,7 @@ def work_queue_plan(spark, sf_dir: str) -> DataFrame:
     slots = c.select(F.col("c_custkey").alias("slot_id"), F.pmod("c_custkey", F.lit(120)).alias("key"), F.col("c_nationkey").alias("owner"))
     catalog = s.select(F.pmod(F.col("s_suppkey") * 3, F.lit(110)).alias("key"), F.col("s_suppkey").alias("catalog_id"), F.col("s_nationkey").alias("owner"), (F.col("s_acctbal") > 6000).alias("complete"))
     sources = table(spark, sf_dir, "part").where("p_size > 20").select(F.pmod("p_partkey", F.lit(90)).alias("catalog_id"))
-    audits = o.where("o_orderkey % 5 = 0").select(F.pmod("o_custkey", F.lit(70)).alias("catalog_id"), F.col("o_orderdate").alias("audited_at"), F.col("o_orderkey").alias("audit_id"), F.col("o_orderstatus").alias("status"))
+    audits = o.select(F.pmod("o_custkey", F.lit(70)).alias("catalog_id"), F.col("o_orderdate").alias("audited_at"), F.col("o_orderkey").alias("audit_id"), F.col("o_orderstatus").alias("status"))
     return work_queue.build_queue(slots, catalog, sources, audits).select("slot_id", "catalog_status", "catalog_id", "action")
 
 
@@ -141,9 +141,9 @@ def unique_binding(spark, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Products of even and odd keys as the items of two inventories."""
+    """Cheaper and dearer products as the items of two inventories."""
     p = table(spark, sf_dir, "part")
-    form = lambda r, side: p.where(F.col("p_partkey") % 2 == r).select(F.col("p_partkey").alias(f"{side}_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.concat(F.lit("root > "), "p_type").alias("path"), F.concat_ws("/", "p_brand", "p_size").alias("course"))
+    form = lambda r, side: p.where(F.col("p_retailprice") < 950 if r == 0 else F.col("p_retailprice") >= 950).select(F.col("p_partkey").alias(f"{side}_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.concat(F.lit("root > "), "p_type").alias("path"), F.concat_ws("/", "p_brand", "p_size").alias("course"))
     return form(0, "source"), form(1, "target")
 
 
@@ -217,7 +217,7 @@ _QUEUE = """WITH s AS (SELECT c_custkey AS slot_id, c_custkey % 120 AS key, c_na
       FROM s LEFT JOIN k USING (key) LEFT JOIN o USING (key, owner)),
     t AS (SELECT *, CASE catalog_status WHEN 'ONE' THEN any_id WHEN 'OWNER' THEN owner_id WHEN 'COMPLETE' THEN complete_id END AS catalog_id FROM r),
     u AS (SELECT p_partkey % 90 AS catalog_id, count(*) AS sources FROM part WHERE p_size > 20 GROUP BY ALL),
-    a AS (SELECT o_custkey % 70 AS catalog_id, count(*) AS audits, arg_max(o_orderstatus, {'a': o_orderdate, 'b': o_orderkey}) AS latest FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL),
+    a AS (SELECT o_custkey % 70 AS catalog_id, count(*) AS audits, arg_max(o_orderstatus, {'a': o_orderdate, 'b': o_orderkey}) AS latest FROM orders GROUP BY ALL),
     q AS (SELECT slot_id, catalog_status, catalog_id, CASE WHEN catalog_status = 'AMBIGUOUS' THEN 'RESOLVE_CATALOG' WHEN catalog_status = 'NONE' THEN 'ADD_TO_CATALOG' WHEN sources IS NULL THEN 'UPLOAD_SOURCE'
       WHEN coalesce(audits, 0) = 0 THEN 'AUDIT' WHEN latest = 'F' THEN 'RESOLVE_BLOCKER' WHEN latest = 'P' THEN 'REVIEW' ELSE 'DONE' END AS action FROM t LEFT JOIN u USING (catalog_id) LEFT JOIN a USING (catalog_id))"""
 _EDIT = "CASE WHEN a.n = b.n THEN 1.0::DOUBLE WHEN contains(a.n, b.n) OR contains(b.n, a.n) THEN 0.9 ELSE 1 - levenshtein(a.n, b.n)::DOUBLE / greatest(length(a.n), length(b.n)) END"
@@ -239,7 +239,7 @@ ORACLE_SQL = {
     "preflight": f"{_COUNTS} SELECT l_suppkey, CASE WHEN webcontent + lti = 0 OR (empty % 3 <> 0 AND empty > 0) OR lti > 50 THEN 'BLOCKED' ELSE 'CLEARED TO INGEST' END AS verdict FROM c",
     "zscore_imbalance": """WITH c AS (SELECT c_nationkey, count(*) AS items FROM customer GROUP BY ALL), m AS (SELECT avg(items) AS mean, stddev_pop(items) AS sd FROM c)
         SELECT c_nationkey, items, round((items - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 9) AS z FROM c, m""",
-    "snapshot_coherence": """WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
+    "snapshot_coherence": """WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
         s AS (SELECT (SELECT count(*) FROM a) AS left_ids, (SELECT count(*) FROM b) AS right_ids, (SELECT count(*) FROM a SEMI JOIN b USING (k)) AS "both") SELECT *, round("both"::DOUBLE / least(left_ids, right_ids), 9) AS share FROM s""",
     "coverage_summary": """SELECT lang, count(*) AS items, count(quality) AS observed, count(*) FILTER (quality = 1) AS positive, count(*) FILTER (quality = 0) AS negative, round(avg(quality), 9) AS share
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""",
@@ -262,8 +262,8 @@ ORACLE_SQL = {
         s AS (SELECT floor(s_acctbal / 10)::BIGINT AS k, count(*) AS m, min(s_suppkey) AS t FROM supplier GROUP BY ALL)
         SELECT c_custkey AS source_id, CASE WHEN m IS NULL THEN 'NO_TARGET' WHEN n > 1 OR m > 1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS status, CASE WHEN n = 1 AND m = 1 THEN t END AS target_id, coalesce(m, 0) AS candidates
         FROM c LEFT JOIN s USING (k)""",
-    "match_edges": f"""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS n, p_brand, p_size, lower(p_type) AS t FROM part),
-        e AS (SELECT a.p_partkey AS source_id, b.p_partkey AS target_id, a.n = b.n AS exact_title, a.t = b.t AS compatible, {_EDIT} AS title FROM p a JOIN p b USING (p_brand, p_size) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
+    "match_edges": f"""WITH p AS (SELECT p_partkey, p_retailprice < 950 AS cheap, replace(p_name, ' ', '') AS n, p_brand, p_size, lower(p_type) AS t FROM part),
+        e AS (SELECT a.p_partkey AS source_id, b.p_partkey AS target_id, a.n = b.n AS exact_title, a.t = b.t AS compatible, {_EDIT} AS title FROM p a JOIN p b USING (p_brand, p_size) WHERE a.cheap AND NOT b.cheap),
         s AS (SELECT *, title * 0.9::DOUBLE + CASE WHEN compatible THEN 1 ELSE 0.15::DOUBLE END * 0.1::DOUBLE AS c FROM e),
         f AS (SELECT source_id, target_id, exact_title, compatible, CASE WHEN title < 0.5 THEN 0 WHEN title >= 0.98::DOUBLE AND c < 0.82::DOUBLE THEN 0.82::DOUBLE ELSE c END AS score FROM s)
         SELECT source_id, target_id, exact_title, compatible, round(score, 9) AS score_9 FROM f WHERE score >= 0.78""",

@@ -93,9 +93,9 @@ def passage_novelty(spark, sf_dir: str) -> DataFrame:
 def exact_text_candidates(spark, sf_dir: str) -> DataFrame:
     """Documents by the hash of their clean text across two halves of the sources: UNIQUE, AMBIGUOUS or NONE."""
     t = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(text.clean_text("text"), 256).alias("key"))
-    half = F.pmod("doc_id", F.lit(2))
-    left = t.where(half == 0).select(F.col("doc_id").alias("source_id"), "key")
-    right = t.where(half == 1).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("target"))
+    first = F.col("source") < "src2"
+    left = t.where(first).select(F.col("doc_id").alias("source_id"), "key")
+    right = t.where(~first).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("target"))
     both = left.join(right, "key", "left")
     return both.select("source_id", F.when(F.col("n").isNull(), "NONE").when(F.col("n") == 1, "UNIQUE").otherwise("AMBIGUOUS").alias("kind"), F.when(F.col("n") == 1, F.col("target")).alias("target_id"))
 
@@ -214,9 +214,9 @@ ORACLE_SQL = {
         b AS (SELECT item_id, len(x) AS n, unnest(x) AS s FROM (SELECT item_id, {_SHINGLES} AS x FROM (SELECT item_id, {_ALL_WORDS} AS w FROM benchmark) WHERE len(w) > 4))
         SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / n, 9) AS share FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n HAVING round(count(*)::DOUBLE / n, 9) >= 0.5""",
     "passage_novelty": None,
-    "exact_text_candidates": f"""WITH t AS (SELECT doc_id, sha256({sql.clean('text')}) AS key FROM documents), r AS (SELECT key, count(*) AS n, min(doc_id) AS target FROM t WHERE doc_id % 2 = 1 GROUP BY key)
+    "exact_text_candidates": f"""WITH t AS (SELECT doc_id, source < 'src2' AS first, sha256({sql.clean('text')}) AS key FROM documents), r AS (SELECT key, count(*) AS n, min(doc_id) AS target FROM t WHERE NOT first GROUP BY key)
         SELECT doc_id AS source_id, CASE WHEN n IS NULL THEN 'NONE' WHEN n = 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS kind, CASE WHEN n = 1 THEN target END AS target_id
-        FROM t LEFT JOIN r USING (key) WHERE doc_id % 2 = 0""",
+        FROM t LEFT JOIN r USING (key) WHERE first""",
     "sha_provenance": "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS members, min(doc_id) AS first, count(DISTINCT source) AS sources FROM documents GROUP BY ALL HAVING count(*) > 1",
     "url_normalize": rf"""WITH p AS (SELECT page_id, {sql.clean('url')} AS u, url FROM pages),
         k AS (SELECT *, array_to_string([x FOR x IN string_split(regexp_extract(u, '(?i)^https?://[^/?#]+[^?#]*\?([^#]*)', 1), '&') IF x <> '' AND NOT regexp_matches(url_decode(string_split(x, '=')[1]), '(?i)^(utm_[a-z0-9_]+|gclid|fbclid|msclkid)$')], '&') AS q FROM p)
