@@ -11,7 +11,7 @@ boundaries that remain, one bit each:
   first, as long as one applies.
 
 Words over ``LONG_WORD`` characters have no room in 64 bits; an agenda of merges (or the Viterbi table in
-numpy) in an Arrow function encodes them. A partition of texts gets the boundaries of its own words back,
+numpy) in an Arrow function encodes them. A partition of texts gets the cuts of its own words back,
 not those of the corpus, so what a task holds is bounded by its texts.
 
 Edge cases: a null or empty text has no pieces; characters without a piece become byte pieces; repeated
@@ -32,14 +32,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from veriframe.functions.text import let
+
+from .common import packed, table, unpacker
 
 SPACE = "▁"
 LONG_WORD = 60
+#: Stands for a line end in a cut; no piece of a text is written so.
+LINE_END = "<0x0A>"
+#: Chunks whose ids a task keeps at hand.
+REMEMBERED = 200_000
 UNKNOWN_PENALTY = 10.0  # below the worst score: the score of a character without a piece in a unigram model
 
 _MARKS = r"\W\d_²³¹¼½¾"  # what isn't taken for a letter
-_BY_LETTERS = rf"{SPACE}*(?:[^{_MARKS}]+|(?:(?![{SPACE}\n])[{_MARKS}])+)|{SPACE}+|\n"
+_BY_LETTERS = rf"{SPACE}*(?:[^{_MARKS}]+|(?:[^\w{SPACE}\n]|[{_MARKS[2:]}])+)|{SPACE}+|\n"
 _BY_SPACES = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 _WHOLE = r"(?s).+"
 
@@ -50,6 +56,31 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _PieceIds(dict):
+    """Piece -> its id, or the ids of the bytes of a character without one, as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, ids: dict[str, int], byte_ids: np.ndarray):
+        super().__init__((p, np.array([i], "<u4").tobytes()) for p, i in ids.items())
+        self.byte_ids = byte_ids
+        self[LINE_END] = self["\n"]
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = got = self.byte_ids[list(piece.encode("utf-8", "surrogatepass"))].astype("<u4").tobytes()
+        return got
+
+
+class _Cuts(dict):
+    """Word -> its cut; words that the lattice left out (one character, no edge, too long) are cut when met."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> str:
+        self[word] = got = self.model.cut_alone(word)
+        return got
+
+
 class PieceModel:
     """Pieces, scores and bytes of a model file."""
 
@@ -67,9 +98,12 @@ class PieceModel:
         self.text = [model.id_to_piece(i).replace(SPACE, " ").encode() if not skip[i] else b"" for i in range(n)]
         for b, i in enumerate(self.bytes.tolist()):
             self.text[i] = bytes([b])
+        self._bytes = np.frombuffer(b"".join(self.text), np.uint8)
+        self._length = np.array([len(t) for t in self.text])
+        self._offset = np.cumsum(self._length) - self._length
         self.unigram = _model_type(path) == 1
         self.cut = re.compile(self._cut_rule())
-        self._seen: dict[str, bytes] = {}
+        self.piece_ids = _PieceIds(self.ids, self.bytes)
 
     def _cut_rule(self) -> str:
         """The finest of three cuts that no piece crosses."""
@@ -78,26 +112,28 @@ class PieceModel:
                 return rule
         return _WHOLE
 
-    def words(self, text: str | None) -> list[str]:
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def piece_ids(self, piece: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a piece, or of the bytes of a character without one."""
-        got = self._seen.get(piece)
-        if got is None:
-            at = self.ids.get(piece)
-            ids = self.bytes[list(piece.encode("utf-8", "surrogatepass"))] if at is None else np.array([at])
-            got = self._seen[piece] = ids.astype("<u4").tobytes()
-        return got
-
-    def from_bounds(self, word: str, bounds: int) -> bytes:
-        """Ids of a word cut where a bit of ``bounds`` is set."""
-        at = [i for i in range(len(word) + 1) if bounds >> i & 1]
-        return b"".join(self.piece_ids(word[a:b]) for a, b in zip(at, at[1:], strict=False))
-
-    def encode_alone(self, word: str) -> bytes:
-        """One word without the lattice tables; for words of any length."""
-        return b"".join(map(self.piece_ids, self._viterbi(word) if self.unigram else self._merged(word)))
+    def chunks(self, text: str | None) -> list[str]:
+        """A text in parts between its single spaces; where spaces stand together or first, one part that begins
+        with the mark for a space."""
+        if not text:
+            return []
+        if self.cut.pattern == _WHOLE or "  " in text or text[0] == " " or SPACE in text:
+            return [SPACE + text.replace(" ", SPACE)]
+        return text.split(" ")
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk, cut where no piece crosses."""
+        return self.cut.findall(chunk if chunk[:1] == SPACE else SPACE + chunk)
+
+    def from_cut(self, pieces: str) -> bytes:
+        """Ids of text given as its pieces with line ends between them."""
+        return b"".join(map(self.piece_ids.__getitem__, pieces.split("\n")))
+
+    def cut_alone(self, word: str) -> str:
+        """The cut of one word without the lattice tables; for words of any length."""
+        if word == "\n":
+            return LINE_END
+        return "\n".join(self._viterbi(word) if self.unigram else self._merged(word)) if len(word) > 1 else word
 
     def _merged(self, word: str) -> list[str]:
         parts: list[str | None] = list(word)
@@ -137,9 +173,15 @@ class PieceModel:
             j = back[j]
         return out[::-1]
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """Bytes of the pieces one after the other, the space before the first word included."""
+        length = self._length[ids]
+        ends = np.cumsum(length)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._offset[ids] - (ends - length), length)
+        return self._bytes[at].tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.text.__getitem__, ids.tolist()))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        return self.decoded(ids).removeprefix(b" ").decode("utf-8", "replace")
 
 
 def _model_type(path: str) -> int:
@@ -158,46 +200,38 @@ def piece_model(path: str) -> PieceModel:
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """(piece, score); as many rows as the model has pieces, tens of thousands for any vocabulary file."""
-    return spark.createDataFrame(list(model.scores.items()), "piece string, score double")
+    """(piece, rank, score), best score first; as many rows as the model has pieces, tens of thousands for any
+    vocabulary file."""
+    ranked = sorted(model.scores.items(), key=lambda x: -x[1])
+    return spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(ranked)], "piece string, rank long, score double")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
-    """(word, edges): for each word that has some, (order, start, stop, score) of the substrings that are
-    pieces, best score first, then leftmost. Keeps the partitioning of ``words`` by word."""
+    """(word, start, stop, rank, score) for all substrings of ``words`` that are pieces. Keeps the partitioning
+    of ``words`` by word."""
     n = F.length("word")
-    cuts = F.transform(
-        F.sequence(F.lit(0), n - shortest),
-        lambda i: F.transform(
-            F.sequence(F.lit(shortest), F.least(F.lit(longest), n - i)),
-            lambda k: F.struct(i.alias("start"), (i + k).alias("stop"), F.substring(F.col("word"), i + 1, k).alias("piece")),
-        ),
-    )
-    edges = words.where(n >= shortest).select("word", F.explode(F.flatten(cuts)).alias("cut")).select("word", "cut.*")
-    edges = edges.join(F.broadcast(pieces), "piece")  # the model's pieces: a fixed number of short rows
-    edge = F.struct((-F.col("score")).alias("order"), "start", "stop", "score")
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    starts = (words if shortest < 3 else words.where(n >= shortest)).select("word", F.explode(F.sequence(F.lit(0), n - shortest)).alias("start"))
+    cuts = starts.select("word", "start", F.explode(F.sequence(F.col("start") + shortest, F.least(F.col("start") + longest, n))).alias("stop"))
+    cuts = cuts.withColumn("part", F.substr("word", F.col("start") + 1, F.col("stop") - F.col("start")))
+    table = F.broadcast(pieces.withColumn("key", F.xxhash64("piece")))  # the model's pieces: a fixed number of short rows
+    same = F.startswith(F.col("part"), F.col("piece")) & F.startswith(F.col("piece"), F.col("part"))  # not as an equality, so that the key stays one number
+    return cuts.join(table, (F.xxhash64("part") == F.col("key")) & same).drop("part", "piece", "key")
 
 
 def _bit(n: Column | int) -> Column:
     return F.expr("1L") if isinstance(n, int) else F.call_function("shiftleft", F.lit(1).cast("long"), n)
 
 
-def merge_bounds(edges: Column, word: Column) -> Column:
-    """Bits of the boundaries left when merges are applied in order of rank, leftmost first."""
-    slim = F.transform(
-        edges,
-        lambda e: F.struct(
-            (_bit(e["start"]) + _bit(e["stop"])).alias("ends"),
-            (_bit(e["stop"]) - _bit(e["start"] + 1)).alias("inner"),
-        ),
-    )
+def merge_bounds(codes: Column, word: Column) -> Column:
+    """Bits of the boundaries left when merges are applied in order of rank, leftmost first. ``codes`` are the
+    sorted rank << 12 | start << 6 | stop of the edges."""
+    start, stop = (lambda e: F.shiftright(e, 6).bitwiseAND(F.lit(63)).cast("int")), (lambda e: e.bitwiseAND(F.lit(63)).cast("int"))
+    slim = F.transform(codes, lambda e: F.struct((_bit(start(e)) + _bit(stop(e))).alias("ends"), (_bit(stop(e)) - _bit(start(e) + 1)).alias("inner")))
     applies = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
-    steps = F.sequence(F.lit(1), F.least(F.length(word) - 1, F.size(slim)))
     first = lambda m, es: F.get(F.filter(es, lambda e: applies(m, e)), F.lit(0))["inner"]
     state = F.struct((_bit(F.length(word) + 1) - F.lit(1).cast("long")).alias("m"), slim.alias("es"))
     folded = F.aggregate(
-        steps,
+        F.sequence(F.lit(1), F.least(F.length(word) - 1, F.size(codes))),
         state,
         lambda s, _: F.struct(s["m"].bitwiseAND(F.bitwise_not(F.coalesce(first(s["m"], s["es"]), F.lit(0).cast("long")))).alias("m"), s["es"].alias("es")),
     )
@@ -223,14 +257,26 @@ def viterbi_bounds(edges: Column, word: Column, unknown_score: float) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step), -1)["bounds"]
 
 
-def word_bounds(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, bounds) of distinct words of at most LONG_WORD characters that have an edge."""
+def cut_words(words: DataFrame, model: PieceModel) -> DataFrame:
+    """(word, cut) of distinct words of at most LONG_WORD characters that have an edge: cut has a line end
+    between the word's pieces."""
     pieces = piece_table(words.sparkSession, model)
     if model.unigram:
-        found = lattice(words, pieces, model.longest)
-        return found.select("word", viterbi_bounds(F.col("edges"), F.col("word"), model.unknown_score).alias("bounds"))
-    found = lattice(words, pieces.where(F.length("piece") > 1), model.longest, 2)
-    return found.select("word", merge_bounds(F.col("edges"), F.col("word")).alias("bounds"))
+        edge = F.struct("stop", "start", "score")
+        found = lattice(words, pieces, model.longest).groupBy("word").agg(F.collect_list(edge).alias("edges"))
+        bounds = viterbi_bounds(F.col("edges"), F.col("word"), model.unknown_score)
+    else:
+        code = F.shiftleft("rank", 12) + F.col("start") * 64 + F.col("stop")
+        merges = lattice(words, pieces.where(F.length("piece") > 1).drop("score"), model.longest, 2)
+        found = merges.groupBy("word").agg(F.sort_array(F.collect_list(code)).alias("codes"))
+        bounds = merge_bounds(F.col("codes"), F.col("word"))
+    return found.select("word", let(bounds, lambda b: _cut(F.col("word"), b)).alias("cut"))
+
+
+def _cut(word: Column, bounds: Column) -> Column:
+    at = F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: F.getbit(bounds, i) == 1)
+    step = lambda s, i: F.struct(F.concat(s["text"], F.when(s["at"] > 0, "\n").otherwise(""), F.substr(word, s["at"] + 1, i - s["at"])).alias("text"), i.alias("at"))
+    return F.aggregate(F.slice(at, 2, LONG_WORD), F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step)["text"]
 
 
 def encode(documents: DataFrame, model_path: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -241,60 +287,51 @@ def encode(documents: DataFrame, model_path: str | None = None, with_ids: bool =
     placed = documents.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, part = piece_model(path), set(), None
+        own, chunks, part = piece_model(path), set(), None
         for batch in batches:
             for text, part in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                seen.update(own.words(text.as_py()))
-        words = [w for w in seen if 1 < len(w) <= LONG_WORD]
+                chunks.update(own.chunks(text.as_py()))
+        words = list({w for c in chunks for w in own.words(c) if 1 < len(w) <= LONG_WORD})
         for i in range(0, len(words), 100_000):
             some = words[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([part] * len(some), pa.int32())], ["word", "part"])
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(1)
-        for batch in batches:
-            texts = [packer.compress(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else None for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], ["doc_id", "packed", "part"])
-
-    wanted = placed.mapInArrow(cut, "word string, part int").repartition("word")
-    bounds = word_bounds(wanted.select("word").distinct(), model)
-    own_words = wanted.join(bounds, "word").select("part", "word", "bounds")
+    wanted = placed.mapInArrow(cut, "word string, part int").where("word is not null and length(word) > 1").repartition("word")
+    # reading ``part`` here too lets Spark use the one shuffle of ``wanted`` for both sides of the join
+    distinct = wanted.groupBy("word").agg(F.min("part").alias("first")).where("first is not null").select("word")
+    own_words = wanted.join(cut_words(distinct, model), "word").select("part", "cut")
     schema = T.StructType([documents.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_pieces", "ids_crc32", "decoded_crc32"))])
     if with_ids:
         schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def join(texts: pa.Table, words: pa.Table) -> pa.Table:
-        import zstandard
-
-        own, unpack = piece_model(path), zstandard.ZstdDecompressor()
-        known = dict(zip(words.column("word").to_pylist(), words.column("bounds").to_pylist(), strict=True))
-        ids_of: dict[str, bytes] = {}
+        own, unpack = piece_model(path), unpacker()
+        known = _Cuts(own)
+        known.update((c.replace("\n", ""), c) for c in words.column("cut").to_pylist())
 
         class Ids(dict):
-            def __missing__(self, word: str) -> bytes:
-                at = known.get(word)
-                self[word] = got = own.encode_alone(word) if at is None else own.from_bounds(word, at)
+            def __missing__(self, chunk: str) -> bytes:
+                if len(self) >= REMEMBERED:
+                    self.clear()  # what is met again is made again
+                self[chunk] = got = own.from_cut("\n".join(map(known.__getitem__, own.words(chunk))))
                 return got
 
         ids_of = Ids()
         columns: list[list] = [[], [], [], []]
-        for packed in texts.column("packed"):
-            text = unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass") if packed.is_valid else ""
-            raw = b"".join(map(ids_of.__getitem__, own.words(text)))
-            ids = np.frombuffer(raw, "<u4")
-            decoded = own.decode(ids).encode("utf-8", "surrogatepass")
-            for column, value in zip(columns, (len(ids), zlib.crc32(raw), zlib.crc32(decoded)), strict=False):
+        for text in texts.column("packed"):
+            chunks = own.chunks(unpack(text.as_py()).decode("utf-8", "surrogatepass"))
+            raw = b"".join(map(ids_of.__getitem__, chunks))
+            decoded = own.decoded(np.frombuffer(raw, "<u4")).removeprefix(b" ")
+            for column, value in zip(columns, (len(raw) // 4, zlib.crc32(raw), zlib.crc32(decoded)), strict=False):
                 column.append(value)
             if with_ids:
-                columns[3].append(ids.astype(np.int32))
+                columns[3].append(np.frombuffer(raw, "<u4").astype(np.int32))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         rest = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: len(schema) - 1]
         return pa.Table.from_arrays([texts.column("doc_id"), *rest], schema.names)
 
-    packed = placed.mapInArrow(squeeze, T.StructType([documents.schema["doc_id"], T.StructField("packed", T.BinaryType()), T.StructField("part", T.IntegerType())]))
-    return packed.groupBy("part").cogroup(own_words.groupBy("part")).applyInArrow(join, schema)
+    texts = placed.select("doc_id", packed("text").alias("packed"), "part")
+    return texts.groupBy("part").cogroup(own_words.groupBy("part")).applyInArrow(join, schema)
 
 
 def decode(encoded: DataFrame, ids_column: str = "ids", into: str = "text", model_path: str | None = None) -> DataFrame:
