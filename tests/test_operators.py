@@ -223,3 +223,45 @@ def test_item_fidelity_takes_nothing_for_what_was_not_observed(spark):
     assert got == {1: (100, 45, "PAYLOAD_UNVERIFIED", "UNVERIFIED"), 2: (100, 90, "", "VERIFIED"), 3: (94, 80, "MOVED_ITEM,PAYLOAD_UNVERIFIED", "MOVED"), 4: (71, 70, "TYPE_MUTATION,UNPUBLISHED", "TYPE_MUTATION")}
     raw = {r.source_id: r.verdict for r in comparison.item_fidelity(df, raw_snapshot=True).collect()}
     assert raw[4] == "TYPE_MUTATION" and raw[2] == "VERIFIED"
+
+
+QTI = """<questestinterop><assessment><section><item ident="q1"><presentation><material><mattext>Pick &amp; choose</mattext></material><response_lid ident="r" rcardinality="Single"><render_choice>
+<response_label ident="a"><material><mattext>One</mattext></material></response_label><response_label ident="b"><material><mattext>Two</mattext></material></response_label></render_choice></response_lid></presentation>
+<resprocessing><respcondition><conditionvar><varequal>a</varequal><not><varequal>b</varequal></not></conditionvar></respcondition></resprocessing></item>
+<item ident="q2"><presentation><material><mattext>Say why</mattext></material></presentation></item>
+<item ident="q3"><presentation><response_lid rcardinality="Multiple"><render_choice><response_label ident="x"/></render_choice></response_lid></presentation></item></section></assessment></questestinterop>"""
+
+
+def test_question_banks(spark):
+    from veriframe.sources import assessments
+
+    df = spark.createDataFrame([(1, QTI), (2, None), (3, "<broken"), (4, "")], "id int, text string")
+    got = {r.question_id: (r.prompt, r.kind, [(o.ident, o.text, o.correct) for o in r.options]) for r in assessments.qti_questions(df).collect()}
+    assert got == {"q1": ("Pick & choose", "choice", [("a", "One", True), ("b", "Two", False)]), "q2": ("Say why", "text", []), "q3": ("", "multiple", [("x", "", None)])}
+    bank = ["junk", "NewQuestion,MC", "QuestionText,What is it?", "Option,100,This", "Option,0,That, or so", "NewQuestion,TF", "Option,100,True", "NewQuestion,WR", "QuestionText,Why?"]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(bank)], "file string, place int, line string")
+    rows = {r.question: (r.kind, r.prompt, r.options, r.right, r.state) for r in assessments.bank_questions(lines, ["file"]).collect()}
+    assert rows == {1: ("MC", "What is it?", 2, 1, "COMPLETE"), 2: ("TF", None, 1, 1, "INCOMPLETE"), 3: ("WR", "Why?", 0, 0, "INCOMPLETE")}
+
+
+def test_gaps_gates_reviews_and_chains(spark):
+    from veriframe.operators import evidence
+
+    expected = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3), ("h", 3)], "g string, k int")
+    visited = spark.createDataFrame([(1,), (3,), (9,)], "k int")
+    done = evidence.traversal(expected, visited, "k", "g")
+    assert {r.g: (r.eligible, r.visited, r.complete) for r in done.collect()} == {"g": (2, 1, False), "h": (1, 1, True)}
+    res = spark.createDataFrame([("g", 1, "MISSING"), ("h", 2, "MISSING"), ("x", 3, "MISSING"), ("g", 4, "MOVED")], "g string, i int, verdict string")
+    assert {r.i: r.verdict for r in evidence.with_traversal_gap(res, done, "g").collect()} == {1: "UNVERIFIED", 2: "MISSING", 3: "UNVERIFIED", 4: "MOVED"}
+    base = spark.createDataFrame([(1, "a", None), (2, None, None)], "k int, t string, n int")
+    late = spark.createDataFrame([(1, "z", 5)], "k int, t string, n int")
+    assert sorted((r.k, r.t, r.n, r.recovered) for r in evidence.recovered(base, late, "k", ["t", "n"]).collect()) == [(1, "a", 5, "n"), (2, None, None, "")]
+    rev = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 2, "x"), ("b", 2, "y"), ("c", None, "x")], "k string, at int, d string")
+    assert {r.k: r.d for r in evidence.merged_reviews(rev, ["k"], "at", "d").collect()} == {"a": "y", "b": "CONFLICT"}
+    att = spark.createDataFrame([("a", 1, 1, None), ("a", 2, 2, 1), ("b", 3, 1, None), ("b", 4, 3, 3), ("c", 5, 1, 9)], "c string, id int, generation int, base int")
+    assert {r.c: (r.generation, r.current, r.breaks) for r in evidence.attempt_chain(att, "c").collect()} == {"a": (2, 2, 0), "b": (3, 4, 1), "c": (1, 5, 0)}
+    ev = spark.createDataFrame([("i", "low", None, 1), ("i", None, "b", 3), ("i", "mid", "a", 2)], "k string, x string, y string, p int")
+    assert [(r.x, r.y, r.captures) for r in evidence.merged_evidence(ev, "k", ["x", "y"], "p").collect()] == [("mid", "b", 3)]
+    q = lambda rows: spark.createDataFrame(rows, "id int, prompt string, options array<string>")
+    got = evidence.question_identity(q([(1, "What?", ["A", "b"]), (2, "why", []), (3, "Why!", []), (4, "x", None)]), q([(10, "what", ["a", "B "]), (11, "what", ["b", "a"]), (12, "why", [])]))
+    assert {r.id: (r.kind, r.target_id) for r in got.collect()} == {1: ("EXACT", 10), 2: ("AMBIGUOUS", None), 3: ("AMBIGUOUS", None), 4: ("NONE", None)}
