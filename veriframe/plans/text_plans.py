@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import files, text, urls
+from veriframe.operators import similarity
 from veriframe.plans import sql
 from veriframe.sources.tables import table
 
@@ -171,12 +172,20 @@ def chat_turn_pairs(spark, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(files.token_coverage(F.col("tokens"), F.col("asked")), 9).alias("coverage"))
 
 
+def answer_coverage(spark, sf_dir: str) -> DataFrame:
+    """How much of each user turn stands in the answer after it."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role", "conv_id", "turn")
+    asked = c.where("role = 'user'")
+    pairs = asked.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
+    return similarity.directional_coverage(pairs, asked.select("id", "text"), c.where("role = 'assistant'").select("id", "text"))
+
+
 _ALL_WORDS = sql.words("text")
 _SHINGLES = "list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN generate_series(1, len(w) - 4)])"
 
 QUERIES = {f.__name__: f for f in (
     text_normal_forms, document_tokens, token_jaccard_pairs, trigram_cosine_pairs, fuzzy_part_names, contamination, passage_novelty, exact_text_candidates, sha_provenance,
-    url_normalize, link_dedupe, shared_links, html_text, page_titles, file_keys, item_types, repeated_lines, placeholders, chat_turn_pairs,
+    url_normalize, link_dedupe, shared_links, html_text, page_titles, file_keys, item_types, repeated_lines, placeholders, chat_turn_pairs, answer_coverage,
 )}
 
 _NORMAL_URL = r"""
@@ -252,3 +261,11 @@ ORACLE_SQL["passage_novelty"] = rf"""WITH d AS (SELECT DISTINCT unnest({_SHINGLE
     g AS (SELECT item_id, place, unnest({_SHINGLES}) AS s FROM (SELECT item_id, place, {_ALL_WORDS} AS w FROM e) WHERE len(w) > 4)
     SELECT item_id, place::BIGINT AS place, count(*) FILTER (d.s IS NULL) AS novel, count(*) AS n FROM g LEFT JOIN d USING (s) GROUP BY item_id, place
     HAVING count(*) FILTER (d.s IS NULL) >= 3 AND count(*) FILTER (d.s IS NULL) >= 0.3 * count(*)"""
+ORACLE_SQL["answer_coverage"] = f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, role, {sql.clean('text')} AS clean, {sql.name('text')} AS normal, {sql.semantic_tokens('text')} AS w FROM conversations),
+    f AS (SELECT *, list_distinct(w) AS u, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)]) AS b FROM c),
+    g AS (SELECT id, gram, count(*) AS n FROM (SELECT id, lower(clean)[i:i+2] AS gram FROM (SELECT id, clean, unnest(generate_series(1, length(clean) - 2)) AS i FROM c)) GROUP BY ALL), m AS (SELECT id, sum(n * n)::DOUBLE AS norm FROM g GROUP BY id),
+    p AS (SELECT s.id AS source_id, t.id AS target_id, s.clean AS sc, t.clean AS tc, s.normal AS sn, t.normal AS tn, s.w AS sw, t.w AS tw, s.u AS su, t.u AS tu, s.b AS sb, t.b AS tb FROM f s JOIN f t ON t.id = s.id + 1 WHERE s.role = 'user' AND t.role = 'assistant'),
+    d AS (SELECT source_id, sum(x.n * y.n)::DOUBLE AS dot FROM p JOIN g x ON x.id = source_id JOIN g y ON y.id = target_id AND y.gram = x.gram GROUP BY source_id)
+    SELECT p.source_id, p.target_id, round(CASE WHEN length(sc) < 80 OR length(tc) < 80 THEN 0 WHEN length(sn) >= 80 AND contains(tn, sn) THEN 1 WHEN len(sw) < 12 OR len(tw) < 12 THEN 0
+      ELSE greatest(0, least(1, len(list_intersect(su, tu))::DOUBLE / len(su) * 0.42::DOUBLE + CASE WHEN len(sb) > 0 THEN len(list_intersect(sb, tb))::DOUBLE / len(sb) ELSE 0 END * 0.43::DOUBLE + coalesce(dot / sqrt(a.norm * b.norm), 0) * 0.15::DOUBLE)) END, 9) AS score
+    FROM p LEFT JOIN d USING (source_id) LEFT JOIN m a ON a.id = p.source_id LEFT JOIN m b ON b.id = p.target_id"""
