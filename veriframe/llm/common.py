@@ -33,11 +33,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def id_crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -11,7 +11,9 @@ lists and score 0; repeated rows give repeated results; other columns pass throu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +49,18 @@ def detections(text: str) -> list[tuple[int, int, Rule]]:
     automaton, compiled = _matcher()
     open_rules = {rule.priority: rule for _, own in automaton.iter(text) for rule in own}
     kept: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []  # of what earlier rules kept, in order, and the furthest end up to each
+    reach: list[int] = []
     for priority in sorted(open_rules):
+        new = []
         for m in compiled[priority].finditer(text):
-            if m.end() > m.start() and not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
-                kept.append((m.start(), m.end(), open_rules[priority]))
+            i = bisect_right(starts, m.start()) - 1
+            if m.end() > m.start() and not (i >= 0 and reach[i] >= m.end()):
+                new.append((m.start(), m.end(), open_rules[priority]))
+        if new:
+            kept += new
+            spans = sorted((a, b) for a, b, _ in kept)
+            starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
     return kept
 
 
