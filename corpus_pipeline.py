@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriframe.llm import langid, packing, quality, simhash, substrings
+from veriframe.llm import langid, near, packing, quality, substrings
 from veriframe.llm.common import materialize, table
 
 
@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: one document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates: five-word shingles, Jaccard of 0.8 or more."""
+    return near.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,22 +55,25 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(starts))
 
 
-def simhash(text: str | None) -> int:
-    h = shingle_hashes(text)
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    return simhash_of(shingle_hashes(text, shingle))
+
+
+def simhash_of(h: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 8192):  # a little at a time: very long texts need no more memory
         counts += np.unpackbits(h[i : i + 8192].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, text_column: str = "text", *more: str) -> DataFrame:
+def fingerprints(documents: DataFrame, text_column: str = "text", *more: str, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, ...): fp holds the 64 bits as a signed long; one pass, no shuffle."""
 
     @F.pandas_udf("long")
     def hashed(texts):
         import pandas as pd
 
-        return pd.Series(np.array([simhash(t) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
 
     return documents.select("doc_id", hashed(F.col(text_column)).alias("fp"), *more)
 
