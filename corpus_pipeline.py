@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents whose language can be told."""
-    return langid.keep_identified(docs, langid.learn(langid.training_rows(docs)))
+    return langid.keep_identified(docs, langid.learn(langid.training_rows(docs)), shown=True)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

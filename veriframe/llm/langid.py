@@ -1,8 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
 One bit-sliced Bloom filter holds the characteristic byte n-grams of all languages: each of its
-positions stores a word with one bit per language, so the AND of an n-gram's k positions is the mask of
-all languages that contain it. Per-language popcounts over a document, corrected for each language's
+positions stores one bit per language (a word for every 64), so the AND of an n-gram's k positions is the
+mask of all languages that contain it. Per-language popcounts over a document, corrected for each language's
 false-positive rate, decide.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; null languages are never
@@ -18,19 +18,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, id_crc_mod, materialize, table
 
 UNDETERMINED = "und"
-#: A mask has one bit per language.
-MAX_LANGUAGES = 64
+#: A word of a mask has one bit for each of so many languages.
+WORD_LANGUAGES = 64
 #: Bytes in an n-gram (with one space on either side of each word).
 GRAM = 4
-#: At most so many n-grams per language go into the filter: those in most of its documents.
-GRAMS_PER_LANGUAGE = 20_000
+#: The filter gets as many positions as keep the share that one language fills below this.
+MAX_FILL = 0.25
+#: A text shows its language if the n-grams met exceed the false ones expected by so many standard deviations.
+MARGIN = 3.0
 #: An n-gram belongs to a language if this share of its documents have it ...
 MIN_DOCUMENT_SHARE = 0.002
 #: ... and no other language has it in more than this multiple of that share.
@@ -62,42 +64,57 @@ def slots(grams: np.ndarray, i: int, bits: int = SLOT_BITS) -> np.ndarray:
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: tuple[str, ...]
-    table: np.ndarray  # uint64[2 ** bits], bit l of every word: language l
+    table: np.ndarray  # uint64[words, 2 ** bits], bit l of every word w: language 64 w + l
     false_positive: np.ndarray
     fallback: int
     bits: int = SLOT_BITS
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram the set of all languages that contain it."""
-        out = self.table[slots(grams, 0, self.bits)]
+    def masks(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the set of all languages that contain it, of those of one word."""
+        out = self.table[word][slots(grams, 0, self.bits)]
         for i in range(1, HASHES):
-            out &= self.table[slots(grams, i, self.bits)]
+            out &= self.table[word][slots(grams, i, self.bits)]
         return out
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
-        kinds, counts = np.unique(self.masks(grams), return_counts=True)
-        shifts = np.arange(len(self.languages), dtype=np.uint64)
-        return (((kinds[:, None] >> shifts) & np.uint64(1)) * counts[:, None].astype(np.uint64)).sum(0).astype(float)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+        out = []
+        for word in range(len(self.table)):
+            kinds, counts = np.unique(self.masks(grams, word), return_counts=True)
+            shifts = np.arange(min(WORD_LANGUAGES, len(self.languages) - word * WORD_LANGUAGES), dtype=np.uint64)
+            out.append((((kinds[:, None] >> shifts) & np.uint64(1)) * counts[:, None].astype(np.uint64)).sum(0).astype(float))
+        return np.concatenate(out)
+
+    def decide(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text shows it: its n-grams are more than false positives."""
         if not self.languages or text is None or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, False
         grams = byte_grams(text)
         hits = self.hits(grams)
-        real = np.maximum(0.0, (hits - len(grams) * self.false_positive) / (1 - self.false_positive))
+        false = len(grams) * self.false_positive
+        real = np.maximum(0.0, (hits - false) / (1 - self.false_positive))
         if real.sum() <= 0:
-            return self.languages[self.fallback], 0.0
+            return self.languages[self.fallback], 0.0, False
         best = int(real.argmax())
-        return self.languages[best], float(real[best] / real.sum())
+        shown = hits[best] - false[best] > MARGIN * np.sqrt(false[best] * (1 - self.false_positive[best]))
+        return self.languages[best], float(real[best] / real.sum()), bool(shown)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.decide(text)[:2]
 
 
-def build_filter(entries: dict[str, np.ndarray], documents: dict[str, int], bits: int = SLOT_BITS) -> LanguageFilter:
+def build_filter(entries: dict[str, np.ndarray], documents: dict[str, int], bits: int | None = None) -> LanguageFilter:
+    """``bits`` are by default as many as the largest language needs, SLOT_BITS at least."""
     languages = tuple(sorted(entries))
-    words = np.zeros(1 << bits, np.uint64)
+    if bits is None:
+        most = max((len(x) for x in entries.values()), default=0)
+        bits = max(SLOT_BITS, int(np.ceil(np.log2(max(1, HASHES * most / MAX_FILL)))))
+    words = np.zeros((-(-len(languages) // WORD_LANGUAGES), 1 << bits), np.uint64)
+    fill = []
     for i, language in enumerate(languages):
+        word, bit = words[i // WORD_LANGUAGES], np.uint64(1 << i % WORD_LANGUAGES)
         for k in range(HASHES):
-            words[slots(entries[language].astype(np.uint32), k, bits)] |= np.uint64(1 << i)
-    fill = [float(((words >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))]
+            word[slots(entries[language].astype(np.uint32), k, bits)] |= bit
+        fill.append(float(((word & bit) > 0).mean()))
     order = [documents.get(x, 0) for x in languages]
     return LanguageFilter(languages, words, np.minimum(np.array(fill) ** HASHES, 0.99), int(np.argmax(order)) if order else 0, bits)
 
@@ -134,15 +151,15 @@ def gram_document_counts(training: DataFrame) -> DataFrame:
 
 
 def learn(training: DataFrame) -> LanguageFilter:
-    """Counts cover all rows of ``training``. The driver gets at most GRAMS_PER_LANGUAGE x MAX_LANGUAGES n-grams."""
+    """Counts cover all rows of ``training``, and all its languages are learned. The driver gets of each language at
+    most 1 / MIN_DOCUMENT_SHARE times the n-grams of a mean document."""
     counts = materialize(gram_document_counts(training), "langid-counts")
-    sizes = counts.where("gram = -1").select("lang", F.col("n").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
+    sizes = counts.where("gram = -1").select("lang", F.col("n").alias("docs"))
     documents = {r["lang"]: r["docs"] for r in sizes.collect()}
     shares = counts.where("gram >= 0").join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("docs"))
     shares = shares.where(F.col("share") >= MIN_DOCUMENT_SHARE)
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))
-    kept = shares.join(most, "gram").where(F.col("most") <= MAX_RIVAL * F.col("share")).withColumn("rank", rank).where(F.col("rank") <= GRAMS_PER_LANGUAGE)
+    kept = shares.join(most, "gram").where(F.col("most") <= MAX_RIVAL * F.col("share"))
     got = kept.select("lang", "gram").toPandas()
     return build_filter({k: got.loc[got["lang"] == k, "gram"].to_numpy() for k in documents}, documents)
 
@@ -161,8 +178,17 @@ def identify(documents: DataFrame, model: LanguageFilter, lang_column: str = "la
     return out.withColumns({lang_column: F.col(f"{both}.lang"), score_column: F.col(f"{both}.score")}).drop(both)
 
 
-def keep_identified(documents: DataFrame, model: LanguageFilter) -> DataFrame:
-    """The documents whose language can be told, with their own columns only."""
+def keep_identified(documents: DataFrame, model: LanguageFilter, shown: bool = False) -> DataFrame:
+    """The documents with a language, with their own columns only; with ``shown`` those alone that show it."""
+    if shown:
+
+        @F.pandas_udf(T.BooleanType())
+        def shows(texts):
+            import pandas as pd
+
+            return pd.Series([model.decide(t)[2] for t in texts], dtype=bool)
+
+        return documents.where(shows("text"))
     lang, score = fresh(documents, "identified_lang"), fresh(documents, "identified_score")
     return identify(documents, model, lang, score).where(F.col(lang) != UNDETERMINED).select(*documents.columns)
 
