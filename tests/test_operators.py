@@ -38,6 +38,12 @@ def test_match_plan_is_the_greedy_assignment(spark, seed):
     assert matching.match_plan(df.where("false")).collect() == []
 
 
+def test_match_plan_follows_a_long_chain(spark):
+    chain = [(i // 2, (i + 1) // 2, False, True, 0.99 - i / 1000, -1.0) for i in range(50)]
+    df = spark.createDataFrame(chain, "source_id int, target_id int, exact_title boolean, compatible boolean, score_9 double, path_9 double")
+    assert {(r.source_id, r.target_id) for r in matching.match_plan(df).collect()} == {(i, i) for i in range(25)}
+
+
 def test_unique_binding(spark):
     s = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, " "), (5, None), (6, "z"), (7, "c")], "source_id int, k string")
     t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "c"), (5, None)], "target_id int, k string")

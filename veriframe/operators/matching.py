@@ -68,17 +68,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def match_plan(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def match_plan(edges: DataFrame) -> DataFrame:
     """One-to-one assignment: in rounds, edges that are the best of both their rows are taken and their rows leave;
-    this is the greedy assignment in order of rank. Each round ends the lineage; six rounds are typical."""
+    this is the greedy assignment in order of rank. Each round ends the lineage; six rounds are typical, but a chain of
+    edges of falling rank takes one for every second edge. Rounds go on until no edge is left: the best edge of all is
+    always the best of both its rows. Edges without an id on either side are no edges."""
     order = [F.desc("exact_title"), F.desc("compatible"), F.desc("score_9"), F.desc("path_9"), F.asc("source_id"), F.asc("target_id")]
-    left, plan = settled(unambiguous(edges)), None
-    for _ in range(rounds):
+    left, plan = settled(unambiguous(edges.where("source_id is not null and target_id is not null"))), None
+    while not left.isEmpty():
         best = left.withColumn("s", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
         best = best.withColumn("t", F.row_number().over(Window.partitionBy("target_id").orderBy(*order))).where("s = 1 and t = 1").drop("s", "t")
         best = settled(best)
-        if best.isEmpty():
-            break
+        if best.isEmpty():  # edges given twice that no rank tells apart
+            raise RuntimeError("edges remain, but none is the best of both its rows")
         plan = best if plan is None else plan.unionByName(best)
         left = settled(left.join(best.select("source_id"), "source_id", "left_anti").join(best.select("target_id"), "target_id", "left_anti"))
     method = F.when(F.col("exact_title"), "EXACT_TITLE").when(F.col("compatible"), "TYPE_COMPATIBLE").otherwise("FUZZY")
