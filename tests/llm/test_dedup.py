@@ -64,28 +64,63 @@ def test_remove_repeats_keeps_rows_and_columns(spark):
     assert not any(t and passage in t for t in texts)
 
 
-def test_index_runs_return_each_row_once_and_compact(spark):
-    texts = [" ".join(f"v{i}" for i in range(80)), " ".join(f"x{i}" for i in range(80))]
-    index = substrings.FingerprintIndex(spark, buckets=2, max_runs=2)
-    seen = []
-    for b in range(4):
-        docs = data.documents(spark, [(b, texts[0]), (b + 10, texts[1] if b else "short")])
-        seen += [(r.batch, r.doc, r.h, r.u) for r in index.append(substrings.document_fingerprints(docs)).collect()]
-        index.compact()
-        assert len(index.runs) <= 2
-    assert len(seen) == len(set(seen))
-    assert {b for b, *_ in seen} == {0, 1, 2, 3}
-    index.compact(force=True)
-    assert len(index.runs) == 1
-    index.drop()
+def test_more_batches_than_runs_compact_and_agree(spark, monkeypatch):
+    rows = data.edge_texts()
+    compacted = []
+    plain = substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self, force=False: (compacted.append(len(self.runs)), plain(self, force)))
+    for batches in (1, 4, 7):
+        compacted.clear()
+        got = result(substrings.substring_dedup(data.documents(spark, rows), batches=batches), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == brute_substrings(rows, 35)
+        assert len(compacted) == batches and (batches == 1 or max(compacted) > substrings.MAX_RUNS)
+    assert not spark.sql("SHOW TABLES LIKE 'fingerprints_*'").count()
+
+
+def units(spark, *texts):
+    return substrings.document_fingerprints(data.documents(spark, list(enumerate(texts))))
+
+
+def test_index_is_reopened_by_name_and_meets_its_history(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "vx")
+    index = substrings.FingerprintIndex(spark, "reopened_index")
+    assert index.append(units(spark, a)).count() == 0
+    again = substrings.FingerprintIndex(spark, "reopened_index", max_runs=1)
+    assert len(again.runs) == 1
+    met = again.append(units(spark, a, b)).collect()
+    assert met and all(r.n == 2 and r.low == r.high for r in met)
+    again.compact()
+    assert len(again.runs) == 1 and spark.table(again.runs[0]).groupBy("h").count().where("count > 1").count() == 0
+    last = substrings.FingerprintIndex(spark, "reopened_index")
+    assert {r.h for r in met} < {r.h for r in last.append(units(spark, a, b)).collect()}
+    last.drop()
+    assert substrings.FingerprintIndex(spark, "reopened_index").runs == []
+
+
+def test_words_with_equal_polynomial_hashes_stay(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))  # Thue-Morse: its complement has the same hash modulo 2**64
+    other = word.translate({97: "b", 98: "a"})
+    rest = [f"r{i}" for i in range(34)]
+    rows = [(1, " ".join([word, *rest])), (2, " ".join([other, *rest])), (3, " ".join([word] * 2 + [other] * 33)), (4, " ".join([other] * 2 + [word] * 33))]
+    got = result(substrings.substring_dedup(data.documents(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_substrings(rows, 35) and all(r[2] == 0 for r in got)
+
+
+def test_hot_passages_lines_and_null_ids(spark):
+    rng = __import__("random").Random(2)
+    line = data.words(rng, 12, 10_000)
+    passage = data.words(rng, 60, 10_000)
+    rows = [(None if i % 3 else i, f"{data.words(rng, 40, 9999)} {line} {data.words(rng, 40, 9999)} {passage if i % 2 else ''} {data.words(rng, 9, 9999)}") for i in range(150)]
+    rows += [(None, rows[1][1]), (None, rows[1][1])]
+    got = result(substrings.substring_dedup(data.documents(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_substrings(rows, 35)
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60))
-def test_equal_windows_have_equal_units_or_fingerprints(letters):
-    h = substrings._words(" ".join(letters).encode())
-    units = substrings.Units(h, 9, 4)
-    low = np.repeat(units.h, units.last - units.first + 1)
+def test_equal_windows_have_equal_fingerprints(letters):
+    own = substrings.Units(" ".join(letters).encode(), 9, 4)
+    low = np.repeat(own.h, own.last - own.first + 1)
     windows = [tuple(letters[i : i + 9]) for i in range(len(letters) - 8)]
     assert len(low) == max(0, len(windows))
     by = {}

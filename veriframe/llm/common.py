@@ -16,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under /tmp where the cluster names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share; one under /tmp if they are one process and none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or LOCAL_CHECKPOINTS
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -33,6 +36,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that ``spread_join`` may treat as hot: no key of the others has more than so small a share of the rows.
+HOT_KEYS = 1024
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts``, a stored table with one row for each key; ``weight`` says how many
+    rows have the key. Rows of the fewer than HOT_KEYS keys with the most rows stay where they are and get their facts
+    by broadcast; the others are shuffled by key, so that no task is dealt a hot key."""
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_KEYS > F.lit(total)
+    few, rest = F.broadcast(facts.where(hot).drop(weight)), facts.where(~hot).drop(weight)
+    others = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(others.join(rest, keys, how))
+
+
 def id_crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -11,7 +11,7 @@ from .pieces import op10_piece_encoding
 from .quality import op5_quality_classifier
 from .quotes import OP2_SQL, op2_chat_formatting
 from .simhash import op8_simhash_near_dedup
-from .substrings import op1_substring_dedup
+from .substrings import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_piece_encoding": op10_piece_encoding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL}
