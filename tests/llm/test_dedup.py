@@ -1,5 +1,6 @@
 import hashlib
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -83,18 +84,19 @@ def units(spark, *texts):
 
 def test_index_is_reopened_by_name_and_meets_its_history(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "vx")
-    index = substrings.FingerprintIndex(spark, "reopened_index")
+    name = f"reopened_{uuid.uuid4().hex}"
+    index = substrings.FingerprintIndex(spark, name)
     assert index.append(units(spark, a)).count() == 0
-    again = substrings.FingerprintIndex(spark, "reopened_index", max_runs=1)
+    again = substrings.FingerprintIndex(spark, name, max_runs=1)
     assert len(again.runs) == 1
     met = again.append(units(spark, a, b)).collect()
     assert met and all(r.n == 2 and r.low == r.high for r in met)
     again.compact()
     assert len(again.runs) == 1 and spark.table(again.runs[0]).groupBy("h").count().where("count > 1").count() == 0
-    last = substrings.FingerprintIndex(spark, "reopened_index")
+    last = substrings.FingerprintIndex(spark, name)
     assert {r.h for r in met} < {r.h for r in last.append(units(spark, a, b)).collect()}
     last.drop()
-    assert substrings.FingerprintIndex(spark, "reopened_index").runs == []
+    assert substrings.FingerprintIndex(spark, name).runs == []
 
 
 def test_words_with_equal_polynomial_hashes_stay(spark):
