@@ -198,9 +198,12 @@ class FingerprintIndex:
     def compact(self, force: bool = False) -> None:
         """Merges all runs into one when they are too many; call it when no plan reads them any more."""
         if len(self.runs) > (1 if force else self.max_runs):
-            both = reduce(DataFrame.unionByName, map(self.spark.table, self.runs))
-            # dealt anew on purpose: Spark 4.1 takes a union of bucketed tables for bucketed, but reads it bucket after bucket
-            merged = both.repartition(self.buckets, "h").groupBy("h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+            # by merge joins: Spark 4.1 takes a union of bucketed tables for bucketed, but reads it table after table
+            merged = self.spark.table(self.runs[0])
+            for run in self.runs[1:]:
+                past = self.spark.table(run).toDF("h", "m", "least", "most")
+                n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+                merged = merged.join(past, "h", "full").select("h", n.alias("n"), F.least("low", "least").alias("low"), F.greatest("high", "most").alias("high"))
             new = self._write(merged)
             for run in self.runs:
                 self.spark.sql(f"DROP TABLE {run}")
