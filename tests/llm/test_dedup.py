@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veriframe.llm import simhash, substrings
 
@@ -171,31 +172,41 @@ def test_simhash_of_nothing(spark):
     assert simhash.keep_one(data.empty(spark)).collect() == []
 
 
-def test_gray_index_finds_all_within_distance():
+def test_gray_index_finds_all_and_prunes():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, (40, 30, 2)).astype(np.uint64)
-    values = np.unique(np.concatenate([base, (base[:, None] ^ flips[..., 0]).ravel(), (base[:, None] ^ flips[..., 0] ^ flips[..., 1]).ravel()]))
+    values = np.unique(np.concatenate([base, (base[:, None] ^ flips[..., 0]).ravel(), (base[:, None] ^ flips[..., 0] ^ flips[..., 1]).ravel(), rng.integers(0, 2**63, 20_000, dtype=np.uint64)]))
     values = values[np.argsort(simhash.gray_rank(values))]
-    q, at = simhash.GrayIndex(values).search(values, 2)
-    want = {(i, j) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 2).tolist()}
+    index = simhash.GrayIndex(values)
+    q, at = index.search(values[::9], 2)
+    want = {(i, j) for i, x in enumerate(values[::9]) for j in np.flatnonzero(np.bitwise_count(values ^ x) <= 2).tolist()}
     assert set(zip(q.tolist(), at.tolist(), strict=True)) == want
+    assert index.visited < 0.1 * len(values) * len(values[::9])
 
 
-def test_large_groups_are_dealt_again_without_losing_links(spark):
+@pytest.mark.parametrize("group_rows", [4096, 40, 7])
+def test_links_of_groups_have_all_components(spark, group_rows):
     rng = np.random.default_rng(8)
     center = 0x0123456789ABCDEF
     near = {center ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 20, (150, 2))}
-    values = sorted(near | {int(x) for x in rng.integers(0, 2**62, 60)})
-    df = spark.createDataFrame([(v,) for v in values], "fp long")
-    for limit in (4096, 3):
-        links = simhash.components(simhash.link_forest(df, group_rows=limit)).collect()
-        root = {r.v: r.root for r in links}
-        group = brute_components(values)
-        classes = {}
-        for v, g in zip(values, group, strict=True):
-            classes.setdefault(g, set()).add(root.get(v, v))
-        assert all(len(c) == 1 for c in classes.values()) and len(set().union(*classes.values())) == len(classes)
+    values = sorted(near | {int(x) for x in rng.integers(0, 2**62, 60)} | {0, 1, 7})
+    df = spark.createDataFrame([(v,) for v in values] + [(-1,), (-2,), (-8,)], "fp long")
+    values = [v % 2**64 for v in [*values, -1, -2, -8]]
+    grouped = simhash.gray_groups(df, group_rows)
+    assert grouped.select("grp").distinct().count() >= len(values) / group_rows / 2
+    root = {r.v % 2**64: r.root % 2**64 for r in simhash.components(simhash.link_forest(df, group_rows=group_rows)).collect()}
+    group = brute_components(values)
+    classes = {}
+    for v, g in zip(values, group, strict=True):
+        classes.setdefault(g, set()).add(root.get(v, v))
+    assert all(len(c) == 1 for c in classes.values()) and len(set().union(*classes.values())) == len(classes)
+
+
+def test_gray_order_sorts_like_the_rank(spark):
+    values = np.random.default_rng(1).integers(-(2**63), 2**63, 500)
+    rows = spark.createDataFrame([(int(v),) for v in values], "fp long").orderBy(simhash.gray_order(F.col("fp"))).collect()
+    assert [r.fp for r in rows] == values[np.argsort(simhash.gray_rank(values.view(np.uint64)))].tolist()
 
 
 def test_components_of_a_long_chain(spark):

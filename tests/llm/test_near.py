@@ -51,6 +51,18 @@ def test_candidates_below_the_similarity_stay(spark):
     assert near.keep_one(data.empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("group_sets", [4096, 5])
+def test_large_groups_are_sliced_without_losing_links(spark, group_sets):
+    rng = np.random.default_rng(9)
+    chain = [[f"w{x}" for x in rng.integers(0, 5000, 200)]]
+    for _ in range(40):  # each linked to the one before, the first and the last far apart
+        chain.append(edited(rng, chain[-1], 2))
+    alone = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([*chain, alone])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near.keep_one(docs, group_sets=group_sets).collect()) == [0, 41]
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components_are_those_of_all_pairs(seed):
     rng = np.random.default_rng(seed)

@@ -5,7 +5,8 @@ Candidates come from two kinds of fingerprints: SimHashes within a few bits (the
 and ``BANDS`` fingerprints, each made of the smallest ``ROWS`` hashes of the set under as many orders. Two sets of
 similarity s share one of these with probability 1 - (1 - s**ROWS)**BANDS: all but 5 of a million at 0.8,
 and more above. Candidates are gathered to groups, and in a group all links are found by exact
-similarity, so a group falls into the components of its true links.
+similarity, so a group falls into the components of its true links. A group of more than ``GROUP_SETS`` sets
+is dealt to slices, and each two slices of it are a task's; the components of what they find are put together.
 
 Edge cases: documents with equal sets (all wordless and null texts, too) are one; a text of under five
 words is one shingle; no rows give no rows; other columns are not read.
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize
+from .common import fresh, materialize, spread_join
 from .simhash import DISTANCE, components, link_forest, shingle_hashes, simhash_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS = 6
 BANDS = 40
+#: Sets of a group that a task may get in one slice.
+GROUP_SETS = 4096
 _random = np.random.default_rng(8)
 _XOR = _random.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)[:, None]
 _TIMES = (_random.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -98,10 +101,10 @@ def similar_components(sets: list[np.ndarray], similarity: float = SIMILARITY) -
 
 
 def _groups(shingle: int, similarity: float):
-    """Rows (root, set_id, text) in order of root to (set_id, group) of the sets that have a smaller partner."""
+    """Rows (key, set_id, text) in order of key to (u, v): sets with the smallest of their component under a key."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, ids, sets = None, [], []
+        now, ids, sets = None, [], []
 
         def done() -> pa.RecordBatch:
             of = similar_components(sets, similarity)
@@ -109,14 +112,14 @@ def _groups(shingle: int, similarity: float):
             least = np.full(len(of), np.iinfo(np.int64).max)
             np.minimum.at(least, of, all_ids)
             other = least[of] != all_ids
-            return pa.RecordBatch.from_arrays([pa.array(all_ids[other]), pa.array(least[of][other])], ["set_id", "group"])
+            return pa.RecordBatch.from_arrays([pa.array(all_ids[other]), pa.array(least[of][other])], ["u", "v"])
 
         for batch in batches:
-            for r, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if r != root and ids:
+            for key, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if key != now and ids:
                     yield done()
                     ids, sets = [], []
-                root = r
+                now = key
                 ids.append(i)
                 sets.append(shingle_set(text.as_py(), shingle))
         if ids:
@@ -125,7 +128,7 @@ def _groups(shingle: int, similarity: float):
     return groups
 
 
-def keep_one(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
+def keep_one(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE, group_sets: int = GROUP_SETS) -> DataFrame:
     """One row of each group of ``documents``, the one with the smallest id (null ids last)."""
     kind = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -156,11 +159,18 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, similarity: float = S
     rooted = components(by_band.unionByName(by_bits).unionByName(same_print))
 
     named = rooted.select(F.col("v").alias("set_id"), "root").unionByName(rooted.select(F.col("root").alias("set_id"), "root").distinct())
+    sizes = materialize(named.groupBy("root").agg(F.count("*").alias("n")), "near-sizes")
+    named = spread_join(named, sizes.withColumn("slices", F.ceil(F.col("n") / group_sets)), ["root"], "n")
     one = prints.groupBy("set_id").agg(F.min("key").alias(key)).join(named, "set_id")
-    texts = marked.select(key, "text").join(one, key).dropDuplicates(["set_id"]).select("root", "set_id", "text")
-    groups = materialize(texts.repartition("root").sortWithinPartitions("root").mapInArrow(_groups(shingle, similarity), "set_id long, group long"), "near-groups")
+    texts = marked.select(key, "text").join(one, key).dropDuplicates(["set_id"])
+    own, other = F.pmod(F.xxhash64("set_id"), F.col("slices")), F.col("other")
+    texts = texts.select("root", "set_id", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    keyed = texts.select(F.xxhash64("root", F.least("own", other), F.greatest("own", other)).alias("task"), "set_id", "text")
+    ready = keyed.repartition("task").sortWithinPartitions("task")
+    groups = components(ready.mapInArrow(_groups(shingle, similarity), "u long, v long")).toDF("set_id", "group")
 
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
-    grouped = prints.select("doc_id", "key", "set_id").join(groups, "set_id", "left").withColumn("group", F.coalesce("group", "set_id"))
+    copies = materialize(prints.groupBy("set_id").agg(F.count("*").alias("n")).join(groups, "set_id", "left"), "near-groups")
+    grouped = spread_join(prints.select("doc_id", "key", "set_id"), copies, ["set_id"], "n").withColumn("group", F.coalesce("group", "set_id"))
     chosen = grouped.groupBy("group").agg(first.alias(key)).select(key)
     return marked.join(chosen, key, "left_semi").dropDuplicates([key]).select(*documents.columns)

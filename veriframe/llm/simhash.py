@@ -1,14 +1,16 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints within ``distance`` bits agree on all but ``distance`` of ``BLOCKS`` blocks of bits, so
-every distinct fingerprint is sent once for each choice of blocks to the group of those that agree with
-it there. In a group fingerprints are sorted by Gray rank and runs of them become nodes of a hierarchy;
-a node keeps the bits its members share (a mask and a pattern), and a search adds up the differences
-from the root down, leaving out whole nodes once they exceed ``distance``. A group too large for a task
-is dealt out again by blocks of the bits it does not share, which bounds every group by 2**18 rows.
-
-Each group returns a spanning forest of its links, not its pairs; components come from rounds of large-
-and small-star steps on stored tables.
+The distinct fingerprints are sorted by Gray rank and cut by it into groups of about ``GROUP_ROWS``. A node keeps
+the bits its members share, as a mask and a pattern; bits that the node above shares already are left to
+it. The groups' nodes and the levels over them are the upper part of the hierarchy, at most ``MAX_GROUPS`` nodes of
+two longs, which every task holds; below, each group is a hierarchy of its own in one task. A search adds up the
+differences from the root down and leaves out a node, with all that is under it, once they exceed ``distance``: a
+fingerprint is sent only to the groups it reaches, and there only to the members it reaches. Links are symmetric,
+so groups of lower rank than a fingerprint's own are left to their members' searches.
+
+At most 2080 others lie within two bits of a fingerprint, so links don't grow with the square of a cluster. Each task
+returns a spanning forest of its links, not the links; components come from rounds of large- and small-star
+steps on stored tables.
 
 Edge cases: a null or wordless text has fingerprint zero and is linked like any other; a text of one or
 two words is one shingle; repeated ids keep one row each per row of the input; null ids have components
@@ -19,24 +21,23 @@ rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table
+from .common import fresh, materialize, spread_join, table
 
 BITS = 64
 DISTANCE = 2
 SHINGLE = 3
 SEED = 42
-BLOCKS = 5
-#: Distinct fingerprints that a group may have before it is dealt out again.
+#: Distinct fingerprints of a group; more only where there would be over MAX_GROUPS groups.
 GROUP_ROWS = 4096
-_NODE = 16  # members of a node of the hierarchy
-_ALL = (1 << BITS) - 1
+MAX_GROUPS = 16_384
+_NODE = 16  # nodes or members under a node
+_TOGETHER = 512  # searches at a time
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -78,7 +79,7 @@ def fingerprints(documents: DataFrame, text_column: str = "text", *more: str, sh
     return documents.select("doc_id", hashed(F.col(text_column)).alias("fp"), *more)
 
 
-# ---- the hierarchy of one group
+# ---- the hierarchy
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -89,12 +90,20 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(fp: Column) -> Column:
+    """The same of a signed long, as a long that sorts like the unsigned rank."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(2**63)))
+
+
 class GrayIndex:
-    """Levels from the root down: mask and pattern of the bits that a node shares beyond its parent's."""
+    """Levels from the root down: mask and pattern of the bits that a node shares beyond its parent's. The lowest
+    level is given, in Gray order, by the AND and the OR of what is under each of its nodes; for members both are
+    the member."""
 
-    def __init__(self, sorted_values: np.ndarray):
-        self.values = sorted_values
-        levels = [(sorted_values, sorted_values)]  # and, or of the members
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None):
+        levels = [(low, low if high is None else high)]
         while len(levels[-1][0]) > _NODE:
             low, high = levels[-1]
             at = np.arange(0, len(low), _NODE)
@@ -105,9 +114,10 @@ class GrayIndex:
             new = shared if above is None else shared & ~np.repeat(above, _NODE)[: len(shared)]
             self.levels.append((new, low))
             above = shared
+        self.visited = 0  # nodes looked at so far
 
     def search(self, queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, value) within ``distance``."""
+        """All (query, lowest node) whose shared bits are within ``distance``."""
         mask, pattern = self.levels[0]
         q = np.repeat(np.arange(len(queries)), len(mask))
         node = np.tile(np.arange(len(mask)), len(queries))
@@ -119,6 +129,7 @@ class GrayIndex:
                 node = (node[:, None] * _NODE + np.arange(_NODE)).reshape(n * _NODE)
                 there = node < len(mask)
                 q, node, spent = q[there], node[there], spent[there]
+            self.visited += len(q)
             spent = spent + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
             near = spent <= distance
             q, node, spent = q[near], node[near], spent[near]
@@ -143,96 +154,87 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[other]], nodes[other]
 
 
-def _group_links(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within one group of distinct fingerprints."""
-    values = values[np.argsort(gray_rank(values))]
-    index = GrayIndex(values)
-    us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for i in range(0, len(values), 256):
-        q, at = index.search(values[i : i + 256], distance)
-        keep = at > q + i
-        u, v = _forest(values[q[keep] + i], values[at[keep]])
-        us.append(u), vs.append(v)
-    return _forest(np.concatenate(us), np.concatenate(vs))
-
-
-def _links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys: small runs all at once by shifts, others by their hierarchy."""
-    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-    starts, ends = np.append(0, cuts), np.append(cuts, len(keys))
-    size = ends - starts
-    us, vs = [], []
-    small = np.repeat(size <= 2 * _NODE, size)
-    run = np.repeat(np.arange(len(size)), size)
-    for shift in range(1, 2 * _NODE):
-        near = small[shift:] & (run[shift:] == run[:-shift])
-        if not near.any():
-            break
-        at = np.flatnonzero(near)
-        at = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= distance]
-        us.append(fps[at]), vs.append(fps[at + shift])
-    for a, b in zip(starts[size > 2 * _NODE].tolist(), ends[size > 2 * _NODE].tolist(), strict=True):
-        u, v = _group_links(fps[a:b], distance)
-        us.append(u), vs.append(v)
-    if not us:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _forest(np.concatenate(us), np.concatenate(vs))
+def gray_groups(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(grp, fp), stored: distinct fingerprints cut into groups by their Gray rank, numbered in its order."""
+    groups = min(MAX_GROUPS, max(1, -(-distinct.count() // group_rows)))
+    ranged = distinct.select("fp", gray_order(F.col("fp")).alias("rank")).repartitionByRange(groups, "rank")
+    return materialize(ranged.select(F.spark_partition_id().alias("grp"), "fp"), "gray-groups")
 
 
-# ---- groups
+def upper_nodes(grouped: DataFrame) -> tuple[np.ndarray, GrayIndex]:
+    """Numbers of the groups and the hierarchy over their nodes: as many rows as there are groups."""
+    nodes = grouped.groupBy("grp").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("grp").toPandas()
+    return nodes["grp"].to_numpy(np.int32), GrayIndex(*(nodes[c].to_numpy(np.int64).view(np.uint64) for c in ("low", "high")))
 
 
-def block_masks(width: int, blocks: int) -> list[int]:
-    cut = [round(i * width / blocks) for i in range(blocks + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cut, cut[1:], strict=False)]
+def link_forest(distinct: DataFrame, distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(u, v): links between the distinct ``fp`` values that have the components of all pairs within ``distance``."""
+    grouped = gray_groups(distinct, group_rows)
+    numbers, upper = upper_nodes(grouped)
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, fps = (batch.column(i).to_numpy() for i in (0, 1))
+            for i in range(0, len(fps), _TOGETHER):
+                mine, part = home[i : i + _TOGETHER], fps[i : i + _TOGETHER]
+                q, node = upper.search(part.view(np.uint64), distance)
+                keep = numbers[node] > mine[q]
+                grp = np.concatenate([mine, numbers[node[keep]]])
+                kind = np.concatenate([np.zeros(len(mine), np.int8), np.ones(keep.sum(), np.int8)])
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(kind), pa.array(np.concatenate([part, part[q[keep]]]))], ["grp", "kind", "fp"])
 
-def _signed(x: int) -> int:
-    return x - (1 << BITS) if x >> (BITS - 1) else x
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = None
+        for batch in batches:
+            grp, kind, fps = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((np.diff(grp) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(grp)], strict=True):
+                if a == b:
+                    continue
+                if group is None or group.number != grp[a]:
+                    if group is not None:
+                        yield from group.own_links()
+                    group = _Group(int(grp[a]), distance)
+                if kind[a] == 0:
+                    group.members.append(fps[a:b].view(np.uint64))
+                else:
+                    yield from group.links_to(fps[a:b].view(np.uint64))
+        if group is not None:
+            yield from group.own_links()
+
+    routed = grouped.mapInArrow(route, "grp int, kind byte, fp long")
+    ready = routed.repartition("grp").sortWithinPartitions("grp", "kind")
+    return ready.mapInArrow(links, "u long, v long").distinct()
 
 
-def _narrower(mask: int, blocks: int) -> list[int]:
-    """Blocks of the bits that ``mask`` leaves free."""
-    free = [i for i in range(BITS) if not mask >> i & 1]
-    cut = [round(i * len(free) / blocks) for i in range(blocks + 1)]
-    return [sum(1 << free[i] for i in range(a, b)) for a, b in zip(cut, cut[1:], strict=False)]
+class _Group:
+    """Members of one group, indexed when the last of them has come, and the searches in it."""
 
+    def __init__(self, number: int, distance: int):
+        self.number, self.distance, self.members, self.index = number, distance, [], None
 
-def link_forest(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(u, v): links between the distinct ``fp`` values that have the components of all pairs within
-    ``distance``. Groups are keyed by (number of a mask, the fingerprint's bits under it)."""
-    first = [sum(m) for m in combinations(block_masks(BITS, blocks), blocks - distance)]
-    again = {i: [m | x for x in _narrower(m, distance + 1)] for i, m in enumerate(first)}
-    masked = lambda masks, base: F.explode(F.array(*(F.struct(F.lit(base + i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks))))
-    keyed = distinct.select("fp", masked(first, 0).alias("key")).select("fp", "key.*")
-    large = keyed.groupBy("mask", "bits").count().where(F.col("count") > group_rows).select("mask", "bits", F.lit(True).alias("large"))
-    dealt = keyed.join(large, ["mask", "bits"], "left")
-    parts = [dealt.where("large is null").select("fp", "mask", "bits")]
-    narrow = F.create_map(*(y for i, masks in again.items() for y in (F.lit(i), F.array(*(F.lit(_signed(m)) for m in masks)))))
-    redealt = dealt.where("large").select("fp", F.col("mask").alias("of"), F.posexplode(narrow[F.col("mask")]).alias("n", "m"))
-    parts.append(redealt.select("fp", (len(first) + F.col("of") * (distance + 1) + F.col("n")).alias("mask"), F.col("fp").bitwiseAND(F.col("m")).alias("bits")))
-    groups = parts[0].unionByName(parts[1])
+    def ready(self) -> None:
+        values = np.concatenate(self.members)
+        self.members = values[np.argsort(gray_rank(values))]
+        self.index = GrayIndex(self.members)
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            keys = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()], 1)
-            keys = np.concatenate([held_k, keys])
-            fps = np.concatenate([held_f, batch.column(2).to_numpy().view(np.uint64)])
-            open_ = np.flatnonzero((keys != keys[-1]).any(1))
-            cut = int(open_[-1]) + 1 if len(open_) else 0  # the last run may go on in the next batch
-            held_k, held_f = keys[cut:], fps[cut:]
-            if cut:
-                yield _edges(*_links(keys[:cut], fps[:cut], distance))
-        if len(held_f):
-            yield _edges(*_links(held_k, held_f, distance))
-
-    ready = groups.select("mask", "bits", "fp").repartition("mask", "bits").sortWithinPartitions("mask", "bits")
-    return ready.mapInArrow(links, "u long, v long").distinct()
+    def links_to(self, visitors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.index is None:
+            self.ready()
+            yield from self._found(self.members)
+        yield from self._found(visitors)
 
+    def own_links(self) -> Iterator[pa.RecordBatch]:
+        if self.index is None:
+            yield from self.links_to(np.zeros(0, np.uint64))
 
-def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], ["u", "v"])
+    def _found(self, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(queries), _TOGETHER):
+            part = queries[i : i + _TOGETHER]
+            q, at = self.index.search(part, self.distance)
+            u, v = _forest(part[q], self.members[at])
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], ["u", "v"])
 
 
 # ---- components
@@ -259,19 +261,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def print_components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, root, doc_id): for each distinct ``fp`` of prints(doc_id, fp) its component and smallest id."""
-    smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    """(fp, root, doc_id, n), stored: for each distinct ``fp`` of prints(doc_id, fp) its component, smallest id and rows."""
+    smallest = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "distinct-prints")
     roots = components(link_forest(smallest.select("fp"), distance))
-    return smallest.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
+    rooted = smallest.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id", "n")
+    return materialize(rooted, "rooted-prints")
 
 
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``documents``."""
     prints = materialize(fingerprints(documents), "fingerprints")
     rooted = print_components(prints, distance)
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_print = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("prints")), "components")
+    of_print = materialize(spread_join(rooted.select("root", "fp", "n"), ids, ["root"], "prints").select("fp", "component_id", "n"), "print-components")
+    return spread_join(prints, of_print, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -279,9 +282,9 @@ def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     key = fresh(documents, "row_key")
     marked = documents.withColumn(key, F.md5(F.concat_ws("\x01", F.col("doc_id").cast("string"), F.col("text"))))
     prints = materialize(fingerprints(marked.select("doc_id", "text", F.col(key).alias("key")), "text", "key"), "fingerprints")
-    roots = print_components(prints, distance).select("fp", "root")
+    roots = print_components(prints, distance).select("fp", "root", "n")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
-    chosen = prints.join(roots, "fp").groupBy("root").agg(first.alias(key)).select(key)
+    chosen = spread_join(prints, roots, ["fp"], "n").groupBy("root").agg(first.alias(key)).select(key)
     return marked.join(chosen, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
 
 
