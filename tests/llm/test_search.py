@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from veriframe.llm import ann, knn
+from veriframe.llm import ann, knn, shards
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, shard int"
 
@@ -45,8 +45,8 @@ def brute_inner(vectors, every, k):
 def test_exact_top_k_matches_brute_force_on_edges(spark):
     vectors = edge_vectors()
     e = table(spark, vectors)
-    for k in (20, 3):
-        got = Counter(tuple(r) for r in knn.exact_top_k(e, e.where("vec_id % 20 = 0"), k).collect())
+    for k, shard_rows in ((20, 10_000), (20, 30), (3, 100)):
+        got = Counter(tuple(r) for r in knn.exact_top_k(e, e.where("vec_id % 20 = 0"), k, shard_rows).collect())
         assert got == brute_inner(vectors, 20, k)
 
 
@@ -67,10 +67,57 @@ def test_box_tree_prunes_and_keeps_large_values(spark):
     kth = np.partition(q @ np.floor(64 * x).T, -20, axis=1)[:, -20]
     bounds = tree.leaf_bounds(q, kth)
     assert (bounds < kth[:, None]).mean() > 0.5
-    big = [(0, [1e12, 2e12]), (20, [3e12, -1e12]), (1, [1e12, 1e12])]
-    e = table(spark, big)
-    got = {(r.query_id, r.vec_id) for r in knn.exact_top_k(e, e.where("vec_id % 20 = 0")).collect()}
-    assert got == {(0, 20), (0, 1), (20, 0), (20, 1)}
+
+
+def test_scores_are_exact_whatever_the_size(spark):
+    rng = np.random.default_rng(6)
+    small = [(i, rng.normal(size=3).tolist()) for i in range(1, 40)]
+    for size in (1e3, 1e7, 3e7, 1e8, 1e12):  # whole numbers in doubles, in 64 bits, beyond them
+        rows = small + [(40 + i, (size * rng.normal(size=3)).tolist()) for i in range(30)]
+        rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+        e = table(spark, rows)
+        want = Counter({(q, r, v, min(max(s, -(2**63)), 2**63 - 1)): n for (q, r, v, s), n in brute_inner(rows, 20, 20).items()})
+        got = Counter(tuple(r) for r in knn.exact_top_k(e, e.where("vec_id % 20 = 0"), 20, 20).collect())
+        assert {(q, r, s) for q, r, _, s in got} == {(q, r, s) for q, r, _, s in want}
+        assert got == want or any(abs(s) >= 2**63 - 1 for *_, s in want)  # scores beyond a long are ties
+        assert size >= 3e7 or max(abs(s) for *_, s in want) < 2**63 - 1
+
+
+def test_queries_go_only_to_shards_that_can_reach_their_bound(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, (np.array([i % 2, i // 2 % 2, i // 4 % 2]) * 6 - 3 + rng.normal(0, 0.05, 3)).tolist()) for i in range(1600)]
+    sent = []
+    plain = shards.search_shards
+    monkeypatch.setattr(shards, "search_shards", lambda r, q, m: (sent.append(q.count()), plain(r, q, m))[1])
+    e = table(spark, rows)
+    got = Counter(tuple(r) for r in knn.exact_top_k(e, e.where("vec_id % 20 = 0"), 20, 200).collect())
+    assert got == brute_inner([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 20, 20)
+    assert sent[0] == 80 and sent[1] < 80  # of 7 other shards each
+
+
+def test_the_whole_table_and_its_query(spark):
+    folder = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{folder}/embeddings.parquet")
+    vectors = [(r.vec_id, r.embedding) for r in e.collect()]
+    assert Counter(tuple(r) for r in knn.op9_exact_top_k(spark, folder).select("query_id", "rank", "vec_id", "score").collect()) == brute_inner(vectors, 20, 20)
+    want = brute_cosine(vectors, 50, 5)
+    got = ann.op6_nearest_neighbours(spark, folder).collect()
+    hits = sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got)
+    assert hits >= 0.9 * sum(map(len, want.values())) and len(got) == sum(map(len, want.values()))
+
+
+def test_few_rows_are_ranked_where_vectors_are_clustered():
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 64))
+    x = np.repeat(centers, 100, 0) + rng.normal(0, 0.15, (4000, 64))
+    unit, ranked = ann.unit_vectors(x), []
+    search = ann.hash_index(5, ranked=ranked)(np.arange(4000), x)
+    q, v, _ = search(np.arange(0, 4000, 50), x[::50], np.full(80, -np.inf))
+    near = unit[::50] @ unit.T
+    near[np.arange(80), np.arange(0, 4000, 50)] = -2
+    want = [set(np.argsort(-near[i])[:5].tolist()) for i in range(80)]
+    assert np.mean([j in want[i] for i, j in zip(q.tolist(), v.tolist(), strict=True)]) >= 0.9 and len(q) == 400
+    assert sum(a for a, _ in ranked) < 0.3 * sum(b for _, b in ranked)
 
 
 def brute_cosine(vectors, every, k):

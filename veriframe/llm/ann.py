@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Unit vectors (their distance falls as the cosine rises) are hashed in ``TABLES`` tables of
-``FUNCTIONS`` functions floor((a.u + b) / WIDTH) with normal a. A query's probes are the buckets that
-hold rows, in order of estimated success: the squared distance from the query's projections to the
-bucket, 0 for its own one. Probes of all tables are merged in that order until they have named
-``VISITS`` rows for each distinct row of the shard; the candidates are ranked by their exact cosine.
-
-The order, not a cap on partners, decides what is seen: with clustered vectors all near ones lie in the
-first buckets; with vectors as unrelated as random ones nine tenths of a shard are ranked for 0.98 recall
-(tests/llm/test_search.py measures it). Equal vectors are one row of the tables. More edge cases:
-``shards``; zero vectors take no part.
+``FUNCTIONS`` functions floor((a.u + b) / WIDTH) with normal a. The difference between the projections of a query
+and of a vector at distance d is normal with deviation d, which gives every bucket its chance to hold such a
+neighbour. A query visits buckets in order of that chance, all tables merged, until it would have met a
+neighbour at the distance of its k-th best so far with a probability of ``SUCCESS``; the rows of the visited
+buckets are candidates, ranked by their exact cosine. Where the query comes without a k-th best from another
+shard, the first buckets that name a few rows give one.
+
+So near copies and clustered vectors, whose neighbours are close, are found in few buckets, while vectors as
+unrelated as random ones, whose k-th best is hardly nearer than any other, need most of a shard for the same recall.
+No bucket is cut. More edge cases: ``shards``; zero vectors take no part.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .shards import best_rows, home_shard, keep_best, search_shards, shard_count, usable_vectors
+from .shards import SHARD_ROWS, Measure, top_products, usable_vectors
 
 TOP = 5
 QUERY_EVERY = 50
 TABLES = 8
 FUNCTIONS = 4
 WIDTH = 0.8
-VISITS = 2.0
+SUCCESS = 0.97
 SEED = 20
-_PROBED_TOGETHER = 32
+SLACK = 1e-9  # more than a cosine is off
+_FIRST = 4  # times k: rows that the first buckets must name
 
 
 def _norms(v: np.ndarray) -> np.ndarray:
@@ -36,80 +38,105 @@ def _norms(v: np.ndarray) -> np.ndarray:
     return np.sqrt((v * v).sum(1))
 
 
+def unit_vectors(v: np.ndarray) -> np.ndarray:
+    return v / _norms(v)[:, None]
+
+
+def _normal_share(x: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution below x, to three digits."""
+    return 0.5 * (1 + np.tanh(0.7978845608 * (x + 0.044715 * x**3)))
+
+
 class HashTables:
-    def __init__(self, unit: np.ndarray, tables: int, functions: int, width: float, seed: int = SEED):
+    def __init__(self, unit: np.ndarray, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, seed: int = SEED):
         draw = np.random.default_rng(seed)  # the same functions in every shard
         self.width, self.functions, self.keys, self.bucket, sizes = width, [], [], [], []
         for _ in range(tables):
             a, b = draw.normal(size=(unit.shape[1], functions)), draw.uniform(0, width, functions)
             keys, where, counts = np.unique(np.floor((unit @ a + b) / width), axis=0, return_inverse=True, return_counts=True)
             self.functions.append((a, b))
-            self.keys.append(keys)
+            self.keys.append([np.unique(keys[:, f], return_inverse=True) for f in range(functions)])
             self.bucket.append(where.ravel() + sum(map(len, sizes)))
             sizes.append(counts)
+        self.table = np.repeat(np.arange(tables), [len(s) for s in sizes])
         self.sizes = np.concatenate(sizes)
 
-    def probe_scores(self, unit: np.ndarray) -> np.ndarray:
-        """(query, bucket of any table): squared distance of the projections to the bucket, in widths."""
-        scores = []
+    def chances(self, unit: np.ndarray, distance: float) -> np.ndarray:
+        """For each bucket of any table the chance that it holds a neighbour at ``distance`` which its table holds."""
+        out = []
         for (a, b), keys in zip(self.functions, self.keys, strict=True):
-            at = ((unit @ a + b) / self.width)[:, None]
-            off = np.maximum(np.maximum(keys - at, at - keys - 1), 0)
-            scores.append((off * off).sum(2))
-        return np.concatenate(scores, 1)
-
-    def candidates(self, unit: np.ndarray, visits: float):
-        """For each query the distinct rows of the first buckets that name ``visits`` rows together."""
-        for i in range(0, len(unit), _PROBED_TOGETHER):
-            for score in self.probe_scores(unit[i : i + _PROBED_TOGETHER]):
-                order = np.argsort(score)
-                n = int(np.searchsorted(np.cumsum(self.sizes[order]), visits)) + 1
-                visited = np.zeros(len(score), bool)
-                visited[order[:n]] = True
-                named = visited[self.bucket[0]]
-                for bucket in self.bucket[1:]:
-                    named |= visited[bucket]
-                yield np.flatnonzero(named)
-
-
-def hash_index(k: int, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, visits: float = VISITS):
+            at = unit @ a + b
+            chance = 1.0
+            for f, (cells, of_bucket) in enumerate(keys):
+                edges = (np.stack([cells, cells + 1]) * self.width - at[f]) / max(distance, 1e-6)
+                low, high = _normal_share(np.clip(edges, -9, 9))
+                chance = chance * (high - low + 1e-300)[of_bucket]
+            out.append(chance / chance.sum())
+        return np.concatenate(out)
+
+    def order(self, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets by falling chance, and the probability to have met the neighbour after each of them."""
+        order = np.argsort(-chances, kind="stable")
+        missed = np.zeros(len(order))
+        for t in range(int(self.table[-1]) + 1):
+            met = np.cumsum(np.where(self.table[order] == t, chances[order], 0.0))
+            missed += np.log1p(-np.minimum(met, 1 - 1e-12))
+        return order, 1 - np.exp(missed)
+
+    def named(self, buckets: np.ndarray) -> np.ndarray:
+        """Rows that lie in one of ``buckets``."""
+        visited = np.zeros(len(self.sizes), bool)
+        visited[buckets] = True
+        rows = visited[self.bucket[0]]
+        for bucket in self.bucket[1:]:
+            rows = rows | visited[bucket]
+        return np.flatnonzero(rows)
+
+
+def hash_index(k: int, success: float = SUCCESS, ranked: list | None = None):
+    """``ranked`` gathers for each search the rows ranked and the rows there are (for tests, in one process)."""
+
     def build(ids: np.ndarray, vectors: np.ndarray):
-        distinct, where = np.unique(vectors, axis=0, return_inverse=True)
-        by_vector = np.split(ids[np.argsort(where.ravel(), kind="stable")], np.cumsum(np.bincount(where.ravel()))[:-1])
-        copies = [c[: k + 1] for c in by_vector]  # ids rise; one may be the query's own
-        norms = _norms(distinct)
-        unit = distinct / norms[:, None]
-        index, short = HashTables(unit, tables, functions, width), unit.astype(np.float32)
-        slack = 1e-6 * max(8, unit.shape[1])  # more than single precision can be off
-
-        def search(qids, queries, _):
-            found = []
+        norms = _norms(vectors)
+        unit = vectors / norms[:, None]
+        index = HashTables(unit)
+
+        def search(qids, queries, bounds):
             qnorms = _norms(queries)
-            units = queries / qnorms[:, None]
-            for i, rows in enumerate(index.candidates(units, visits * len(distinct))):
-                if len(rows) > 2 * (k + 1):
-                    near = short[rows] @ units[i].astype(np.float32)
-                    rows = rows[near >= np.partition(near, -(k + 1))[-(k + 1)] - slack]
-                s = (distinct[rows] * queries[i]).sum(1) / (norms[rows] * qnorms[i])
-                vec = np.concatenate([copies[r] for r in rows.tolist()])
-                s = np.repeat(s, [len(copies[r]) for r in rows.tolist()])
-                keep = vec != qids[i]
-                found.append((np.full(keep.sum(), i), vec[keep], s[keep]))
-            return keep_best(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+            found = []
+            for i, query in enumerate(queries / qnorms[:, None]):
+
+                def exact(rows, i=i):
+                    rows = rows[ids[rows] != qids[i]]
+                    s = (vectors[rows] * queries[i]).sum(1) / (norms[rows] * qnorms[i])
+                    best = np.lexsort((ids[rows], -s))[:k]
+                    return rows[best], s[best]
+
+                kth, first = bounds[i], np.zeros(0, int)
+                if kth == -np.inf:
+                    order, _ = index.order(index.chances(query, 1.0))
+                    enough = np.searchsorted(np.cumsum(index.sizes[order]), _FIRST * (k + 1) * TABLES) + 1
+                    first = index.named(order[:enough])
+                    _, s = exact(first)
+                    kth = s[-1] if len(s) == k else -1.0
+                order, met = index.order(index.chances(query, np.sqrt(max(0.0, 2 - 2 * kth))))
+                rows = np.union1d(first, index.named(order[: np.searchsorted(met, success) + 1]))
+                if ranked is not None:
+                    ranked.append((len(rows), len(ids)))
+                rows, s = exact(rows)
+                rows, s = rows[s >= bounds[i]], s[s >= bounds[i]]
+                found.append((np.full(len(rows), i), ids[rows], s))
+            return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
         return search
 
     return build
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = TOP, visits: float = VISITS) -> DataFrame:
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = TOP, success: float = SUCCESS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found by cosine."""
-    some = lambda df: df.where(F.exists("vec", lambda x: x != 0))
-    rows = some(usable_vectors(embeddings))
-    shards = shard_count(rows)
-    asked = some(usable_vectors(queries)).groupBy("id").agg(F.min("vec").alias("vec"))
-    sent = asked.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("double").alias("bound"))
-    return best_rows(search_shards(rows.withColumn("shard", home_shard(shards)), sent, shards, hash_index(k, visits=visits), "double"), k)
+    some = lambda df: usable_vectors(df).where(F.exists("vec", lambda x: x != 0))
+    return top_products(some(embeddings), some(queries), k, Measure(unit_vectors, hash_index(k, success), "double", SLACK), shard_rows)
 
 
 def op6_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

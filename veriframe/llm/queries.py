@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .ann import op6_nearest_neighbours
-from .knn import op9_exact_top_k
+from .knn import OP9_SQL, op9_exact_top_k
 from .langid import op7_language_id
 from .licenses import op4_license_scans
 from .packing import op3_best_fit_packing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_piece_encoding": op10_piece_encoding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op9_exact_top_k": OP9_SQL}
