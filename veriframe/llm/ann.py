@@ -27,7 +27,7 @@ QUERY_EVERY = 50
 TABLES = 8
 FUNCTIONS = 4
 WIDTH = 0.8
-SUCCESS = 0.97
+SUCCESS = 0.998
 SEED = 20
 SLACK = 1e-9  # more than a cosine is off
 _FIRST = 4  # times k: rows that the first buckets must name
