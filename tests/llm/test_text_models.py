@@ -146,6 +146,66 @@ def test_licence_rules_suppress_contained_detections():
         assert rule.keywords and all(k == k.lower() for k in rule.keywords)
 
 
+def inner(pattern):
+    """A pattern without what only looks around."""
+    import re
+
+    return re.sub(r"\(\?(?:<!|!|<=|=)(?:[^()\[\]]|\[[^\]]*\])*\)", "", pattern)
+
+
+@pytest.mark.parametrize("rule", rules(), ids=lambda r: f"{r.kind}-{r.label}")
+def test_every_match_of_a_licence_rule_holds_a_keyword(rule):
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=25, deadline=None, database=None)
+    @given(st.from_regex(re.compile(inner(rule.pattern), re.ASCII), fullmatch=True))
+    def check(text):
+        text = " ".join(text.lower().split())
+        assert not re.fullmatch(rule.pattern, text) or any(k in text for k in rule.keywords), text
+
+    check()
+
+
+def brute_detections(text):
+    import re
+
+    found = [(r.priority, m.start(), m.end(), r.label) for r in rules() for m in re.finditer(r.pattern, text) if m.end() > m.start()]
+    return sorted(x for x in found if not any(p < x[0] and a <= x[1] and x[2] <= b for p, a, b, _ in found))
+
+
+WRAPPED = """Licensed under the Apache License, Version 2.0. Unless required by applicable law or agreed to in writing, software
+distributed under the License ... permission to use, copy, modify, and distribute this software for any
+purpose. Neither the name of the owner
+nor the names of its contributors. See the PHP Licence, the artistic licence 2.0 and an Apache software licence; the
+GNU Lesser General Public License, version 2.1, Copyright 2020, (c) 2021, MIT-licence, expat-license. Spdx-License-Identifier: MIT"""
+
+
+def test_licence_labels_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    parts = WRAPPED.split() + ["mit", "license", "gnu", "general", "public", "bsd", "cc-by", "4.0", "\n", "creative", "commons"]
+    rows = [(0, WRAPPED), (1, WRAPPED.upper() * 40)] + [(i, " ".join(rng.choice(parts, 200))) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        lowered = r.text.translate(licenses._ASCII_LOWER)
+        want = brute_detections(" ".join(lowered.split()))
+        assert [(s.label, " ".join(lowered[s.start : s.end].split())) for s in r.licenses.spans] == [(k, " ".join(lowered.split())[a:b]) for _, a, b, k in want]
+        assert set(r.licenses.labels.split(",")) - {""} == {k for *_, k in want} | set(filter(None, brute_base(r.text)[4].split(",")))
+    found = {s.label for s in licenses.scan_licenses(docs.where("doc_id = 0")).first().licenses.spans}
+    assert {"apache-2.0", "isc", "bsd-3-clause", "php-3.01", "artistic-2.0", "lgpl-2.1", "apache", "mit", "copyright"} <= found
+
+
+def test_a_million_phrases_in_one_text():
+    import time
+
+    began = time.process_time()
+    row = licenses.scan("mit license " * 1_000_000)
+    assert row[:4] == (2_000_000, 1_000_000, 0, 1_999_998) and len(row[7]) == 1_000_000
+    assert time.process_time() - began < 20
+
+
 # ---- tokens and packing
 
 

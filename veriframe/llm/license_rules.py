@@ -2,7 +2,8 @@
 rules (exact tag, link, grant sentence, bare title), tried in that order of priority.
 
 Fields: label | SPDX tags, comma-separated | title pattern | link pattern (may be empty) | keywords of the title
-A title rule only runs on a text that holds one of its keywords; the other rules bring their own.
+A title rule only runs on a text that holds one of its keywords; ``license`` in them stands for ``licence``, too. The
+other rules bring their own. Blanks are single: rules run on texts whose runs of blanks were made one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 from dataclasses import dataclass
 
 LICENCES = r"""
-mit|MIT|(?:the )?(?:expat|mit)[ -]licen[cs]e|opensource\.org/licenses/mit|mit license,mit licence,mit-license,expat license
+mit|MIT|(?:the )?(?:expat|mit)[ -]licen[cs]e|opensource\.org/licenses/mit|mit license,mit-license,expat license,expat-license
 mit-0|MIT-0|mit no attribution(?: licen[cs]e)?|opensource\.org/licenses/mit-0|mit no attribution
 apache-2.0|Apache-2.0|apache(?: software)? licen[cs]e,?(?: version| v\.?)? ?2(?:\.0)?|apache\.org/licenses/license-2\.0|apache license,apache licence,apache software license
 apache-1.1|Apache-1.1|apache(?: software)? licen[cs]e,?(?: version| v\.?)? ?1\.1|apache\.org/licenses/license-1\.1|apache license,apache software license
@@ -128,17 +129,25 @@ class Rule:
     weight: float
 
 
+def _beginning(pattern: str) -> str:
+    """The literal text that every match of ``pattern`` begins with."""
+    literal = re.match(r"(?:[\w/-]|\\\.)+", pattern)[0]
+    if pattern[len(literal) :][:1] in ("?", "*"):
+        literal = literal[:-1]
+    return literal.replace("\\.", ".")
+
+
 def rules() -> list[Rule]:
     found: list[tuple[str, str, str, tuple[str, ...]]] = []
     for line in LICENCES.splitlines():
         label, tags, rest = line.split("|", 2)
         title, link, keywords = rest.rsplit("|", 2)  # a title may hold | itself
-        words = tuple(keywords.split(","))
+        words = tuple(dict.fromkeys(w for k in keywords.split(",") for w in (k, k.replace("license", "licence"))))
         if tags:
             either = "|".join(re.escape(x.lower()) for x in sorted(tags.split(","), key=len, reverse=True))
             found.append(("tag", label, rf"spdx-license-identifier:\s*(?:{either})(?![\w.-])", ("spdx-license-identifier",)))
         if link:
-            found.append(("link", label, link, (max(re.findall(r"[a-z0-9/-]+", link.replace("\\.", "_").lower()), key=len).strip("_"),)))
+            found.append(("link", label, link, (_beginning(link),)))
         found.append(("under", label, rf"(?:licen[cs]ed|released|distributed|available|provided|made available) under (?:the )?(?:terms of )?(?:the )?{title}", words))
         found.append(("title", label, rf"(?<!\w)(?:{title})(?!\w)", words))
     for line in GRANTS.splitlines():

@@ -1,8 +1,9 @@
 """Licence scans: ordered signature rules behind a keyword prefilter.
 
 A rule's regex runs only on texts that hold one of its keywords (one automaton pass finds them all).
-Detections are taken in order of rule priority; one whose interval lies inside an interval already kept
-is suppressed, so a specific signature hides the general ones it contains.
+A detection whose interval lies inside one of a rule with a better priority is suppressed, so a specific signature
+hides the general ones it contains. Runs of blanks, line ends among them, count as one blank; spans are those of
+the text as it is. Time grows with a text's length and the number of its places, whatever there are of them.
 
 Edge cases: a null text is empty; texts without words give zero counts, null positions, empty label
 lists and score 0; repeated rows give repeated results; other columns pass through unread.
@@ -44,39 +45,76 @@ def _matcher():
     return automaton, {r.priority: re.compile(r.pattern) for r in rules()}
 
 
+class _Reach:
+    """The largest end among the detections of rules before a given one (a Fenwick tree over rules)."""
+
+    def __init__(self, n: int):
+        self.ends = [-1] * (n + 1)
+
+    def put(self, rule: int, end: int) -> None:
+        rule += 1
+        while rule < len(self.ends):
+            self.ends[rule] = max(self.ends[rule], end)
+            rule += rule & -rule
+
+    def before(self, rule: int) -> int:
+        most = -1
+        while rule > 0:
+            most = max(most, self.ends[rule])
+            rule -= rule & -rule
+        return most
+
+
 def detections(text: str) -> list[tuple[int, int, Rule]]:
-    """(start, end, rule) of the signatures kept in the whole ASCII-lower-cased ``text``, best rule first."""
+    """(start, end, rule) of the signatures kept in the whole ASCII-lower-cased ``text`` with single blanks, best rule
+    first. A detection inside any of a better rule is left out; one sweep by start, as a better detection around a
+    suppressed one lies in what suppressed that."""
     automaton, compiled = _matcher()
     open_rules = {rule.priority: rule for _, own in automaton.iter(text) for rule in own}
-    kept: list[tuple[int, int, Rule]] = []
-    starts: list[int] = []  # of what earlier rules kept, in order, and the furthest end up to each
-    reach: list[int] = []
-    for priority in sorted(open_rules):
-        new = []
-        for m in compiled[priority].finditer(text):
-            i = bisect_right(starts, m.start()) - 1
-            if m.end() > m.start() and not (i >= 0 and reach[i] >= m.end()):
-                new.append((m.start(), m.end(), open_rules[priority]))
-        if new:
-            kept += new
-            spans = sorted((a, b) for a, b, _ in kept)
-            starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
-    return kept
+    spans = [(m.start(), p, m.end()) for p in open_rules for m in compiled[p].finditer(text) if m.end() > m.start()]
+    reach, kept = _Reach(1 + max(open_rules, default=0)), []
+    for start, priority, end in sorted(spans):
+        if reach.before(priority) < end:
+            kept.append((priority, start, end))
+        reach.put(priority, end)
+    return [(start, end, open_rules[p]) for p, start, end in sorted(kept)]
+
+
+def _in_original(spans: list[tuple[int, int, Rule]], text: str) -> list[tuple[int, int, Rule]]:
+    """Spans of the text with single blanks as spans of ``text``."""
+    starts = [m.span() for m in re.finditer(r"\S+", text)]
+    places = [0, *accumulate(b - a + 1 for a, b in starts)]
+
+    def at(place: int) -> int:
+        word = min(bisect_right(places, place) - 1, len(starts) - 1)
+        return starts[word][0] + place - places[word]
+
+    return [(at(a), at(b), rule) for a, b, rule in spans]
+
+
+def base_places(words: list[bytes]) -> list[tuple[int, str]]:
+    """(word, label) of the base phrases; blanks are counted once along the text."""
+    joined = b" " + b" ".join(words) + b" "
+    found = []
+    for phrase, label in BASE_PHRASES.items():
+        needle = f" {phrase} ".encode()
+        at = joined.find(needle)
+        while at >= 0:
+            found.append((at, label))
+            at = joined.find(needle, at + 1)
+    places, seen, last = [], 0, 0
+    for at, label in sorted(found):
+        seen, last = seen + joined.count(b" ", last, at), at
+        places.append((seen, label))
+    return places
 
 
 def scan(text: str | None) -> tuple:
     lowered = (text or "").translate(_ASCII_LOWER)
     words = lowered.encode("utf-8", "surrogatepass").translate(_WORDS).split()
-    places: list[tuple[int, str]] = []
-    if "license" in lowered:
-        joined = b" " + b" ".join(words) + b" "
-        for phrase, label in BASE_PHRASES.items():
-            needle = f" {phrase} ".encode()
-            at = joined.find(needle)
-            while at >= 0:
-                places.append((joined.count(b" ", 0, at + 1) - 1, label))
-                at = joined.find(needle, at + 1)
-    kept = detections(lowered)
+    places = base_places(words) if "license" in lowered else []
+    kept = detections(" ".join(lowered.split()))
+    kept = _in_original(kept, lowered) if kept else kept
     base = {label for _, label in places}
     missed = 1.0
     for weight in [BASE_WEIGHT] * bool(places) + [rule.weight for _, _, rule in kept]:
