@@ -36,3 +36,43 @@ def test_the_pipeline_drops_texts_that_show_no_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = dict(corpus_pipeline.STAGES)["language ID"](spark, docs, "")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(36))
+
+
+def test_counts_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
+    docs = spark.createDataFrame(many(5), "doc_id long, text string, lang string")
+    want = {tuple(r) for r in langid.gram_document_counts(docs).collect()}
+    monkeypatch.setattr(langid, "HELD_GRAMS", 100)
+    assert {tuple(r) for r in langid.gram_document_counts(docs).collect()} == want
+
+
+def brute_languages(rows):
+    """The decision with sets in place of the filter: a language's n-grams, and the share of a text's that it has."""
+    from collections import Counter
+
+    learned = [(t, k) for i, t, k in rows if t is not None and k is not None and not in_fold(i)]
+    docs, counts = Counter(k for _, k in learned), Counter()
+    for t, k in learned:
+        counts.update((k, g) for g in set(langid.byte_grams(t).tolist()))
+    share = {(k, g): n / docs[k] for (k, g), n in counts.items() if n / docs[k] >= langid.MIN_DOCUMENT_SHARE}
+    most = {}
+    for (_, g), s in share.items():
+        most[g] = max(most.get(g, 0), s)
+    own = {k: {g for (lang, g), s in share.items() if lang == k and most[g] <= langid.MAX_RIVAL * s} for k in docs}
+    return {i: max(sorted(own), key=lambda k: sum(g in own[k] for g in langid.byte_grams(t).tolist())) for i, t, _ in rows}
+
+
+def in_fold(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def test_the_query_agrees_with_sets_of_n_grams(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    parts = {"aa": ["tion", "the", "ing", "er"], "bb": ["schn", "ung", "keit", "the"], "cc": ["ci", "ando", "ing", "la"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[k], 2)) for _ in range(30)), k) for i, k in ((j, "abc"[j % 3] * 2) for j in range(90))]
+    spark.createDataFrame([*rows, (900, None, "aa"), (901, "1 2", "bb"), (None, "the the", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in langid.op7_language_id(spark, str(tmp_path)).collect()}
+    assert {i: got[i].lang_pred for i, _, _ in rows} == brute_languages(rows)
+    assert all(got[i].held_out == in_fold(i) and 0 <= got[i].score <= 1 for i, _, _ in rows)
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[None].held_out is False

@@ -60,6 +60,37 @@ def test_pairwise_fit_orders_and_thresholds():
     assert abs((score < quality.ACCEPT_SCORE).mean() - (y == 0).mean()) < 0.01
 
 
+def brute_ranking(features, labels, weights, ridge=1e-3):
+    """Loss over all pairs of a label-1 and a label-0 row, not over drawn ones, and its slope."""
+    z = (features - features.mean(0)) / np.where(features.std(0) < 1e-9, 1, features.std(0))
+    d = (z[labels == 1][:, None] - z[labels == 0][None]).reshape(-1, features.shape[1])
+    m = d @ weights
+    return np.mean(np.log1p(np.exp(-m))) + ridge / 2 * weights @ weights, ridge * weights - d.T @ (1 / (1 + np.exp(m))) / len(d)
+
+
+def test_drawn_pairs_find_the_optimum_of_all_pairs():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 3))
+    y = (x[:, 0] + rng.normal(0, 1, 120) > 0).astype(int)
+    w = quality.fit_bradley_terry(x, y, pairs=400_000).weights
+    loss, slope = brute_ranking(x, y, w)
+    assert np.abs(slope).max() < 0.02 and all(loss <= brute_ranking(x, y, w + d)[0] + 1e-4 for d in rng.normal(0, 0.3, (20, 3)))
+
+
+def test_quality_query_has_its_contract(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    good = lambda: " ".join("word%d" % rng.integers(3000) for _ in range(120)) + "."
+    bad = lambda: " ".join(rng.choice(["$$$ BUY!!!", "click #1", "@@ ~~"], 40))
+    rows = [(i, good() if i % 2 else bad()) for i in range(200)] + [(7, good()), (500, None), (501, ""), (None, good())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [(i, i % 2) for i in range(200)]).write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op5_quality_classifier(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and held_out(r.doc_id, 5, 0)) for r in got)
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out and r.doc_id < 200]) > 0.95
+    assert len({r.score for r in got if r.doc_id in (500, 501)}) == 1
+
+
 # ---- language identification
 
 

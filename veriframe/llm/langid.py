@@ -38,6 +38,8 @@ MIN_DOCUMENT_SHARE = 0.002
 #: ... and no other language has it in more than this multiple of that share.
 MAX_RIVAL = 2.0
 SLOT_BITS = 18
+#: N-grams that a task adds up before it gives out their counts.
+HELD_GRAMS = 2_000_000
 HASHES = 3
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 
@@ -125,26 +127,24 @@ def gram_document_counts(training: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = defaultdict(list)
-        size: dict[str, int] = defaultdict(int)
+        size = 0
 
-        def merged(parts):
-            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return g, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                g, n = np.unique(np.concatenate(parts), return_counts=True)
+                for i in range(0, len(g), 50_000):
+                    s = slice(i, i + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g[s])), pa.array(g[s]), pa.array(n[s])], ["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                g = np.unique(byte_grams(text.as_py())).astype(np.int64)
-                g = np.append(g, -1)
-                held[lang].append((g, np.ones(len(g), np.int64)))
-                size[lang] += len(g)
-                if size[lang] > 2_000_000:
-                    held[lang] = [merged(held[lang])]
-                    size[lang] = len(held[lang][0][0])
-        for lang, parts in held.items():
-            g, n = merged(parts)
-            for i in range(0, len(g), 50_000):
-                s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g[s])), pa.array(g[s]), pa.array(n[s])], ["lang", "gram", "n"])
+                held[lang].append(np.append(np.unique(byte_grams(text.as_py())).astype(np.int64), -1))
+                size += len(held[lang][-1])
+                if size > HELD_GRAMS:  # what is held is given out, whatever there is of languages and n-grams
+                    yield from counted()
+                    held.clear()
+                    size = 0
+        yield from counted()
 
     rows = training.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

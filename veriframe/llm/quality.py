@@ -6,7 +6,7 @@ and the accept threshold is a quantile of the learned strengths.
 
 Edge cases: a null text is scored as the empty text; an empty text gets the score of zero features;
 null ids or ids without a label are scored but never learned from; an id whose labels disagree is left
-out of learning; without both labels every document scores 0.5; other columns pass through unread.
+out of learning; an id with several texts is learned from once, by the smallest of their features; without both labels every document scores 0.5; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def training_sample(labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Dat
         labels.where(F.col("quality").isin(0, 1) & (id_crc_mod("doc_id", 5) != 0))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top"))
         .where(F.col("quality") == F.col("top"))
-        .select("doc_id", "quality")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
@@ -130,12 +130,13 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = [text_features(t.as_py()).tolist() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1)], ["f", "quality"])
+            f = [text_features(t.as_py()).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64())), batch.column(2)], ["doc_id", "f", "quality"])
 
     # max_rows ids with a label, 16 bytes each: small enough to broadcast at any corpus size
-    rows_of = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    got = rows_of.mapInArrow(rows, "f array<double>, quality int").limit(2 * max_rows).toPandas()  # repeated ids may double a row
+    rows_of = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    made = rows_of.mapInArrow(rows, "doc_id long, f array<double>, quality int")
+    got = made.groupBy("doc_id").agg(F.min("f").alias("f"), F.first("quality").alias("quality")).orderBy("doc_id").toPandas()  # an id counts once
     if not len(got):
         return fit_bradley_terry(np.zeros((0, N_FEATURES)), np.zeros(0))
     return fit_bradley_terry(np.stack(got["f"].to_numpy()), got["quality"].to_numpy())
