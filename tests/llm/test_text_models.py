@@ -346,6 +346,19 @@ def test_pieces_are_those_of_the_library(spark):
     assert pieces.encode(data.empty(spark)).collect() == []
 
 
+def test_pieces_do_not_depend_on_the_parts(spark, monkeypatch):
+    docs = data.documents(spark, data.edge_texts() + PIECE_TEXTS).coalesce(1)
+    want = Counter((r.doc_id, tuple(r.ids)) for r in pieces.encode(docs).collect())
+    plain = pieces._Parts.of
+
+    def small(self, text):
+        pieces.PART_CHARACTERS = 300
+        return plain(self, text)
+
+    monkeypatch.setattr(pieces._Parts, "of", small)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in pieces.encode(docs).collect()) == want
+
+
 def test_unigram_pieces_are_the_best_path_of_the_library(spark, unigram_model):
     import sentencepiece
 

@@ -11,8 +11,9 @@ boundaries that remain, one bit each:
   first, as long as one applies.
 
 Words over ``LONG_WORD`` characters have no room in 64 bits; an agenda of merges (or the Viterbi table in
-numpy) in an Arrow function encodes them. A partition of texts gets the cuts of its own words back,
-not those of the corpus, so what a task holds is bounded by its texts.
+numpy) in an Arrow function encodes them. Texts are dealt in the order they are read to parts of about
+``PART_CHARACTERS``; a part gets the cuts of its own words back, not those of the corpus, so that a group holds a
+part's texts and words, however large a partition of the input is. A text longer than that is a part of its own.
 
 Edge cases: a null or empty text has no pieces; characters without a piece become byte pieces; repeated
 rows (and null ids) are encoded each for itself; no rows give no rows; other columns are not read.
@@ -34,10 +35,12 @@ from pyspark.sql import types as T
 
 from veriframe.functions.text import let
 
-from .common import packed, table, unpacker
+from .common import table, unpacker
 
 SPACE = "▁"
 LONG_WORD = 60
+#: Characters of text that are joined with the cuts of their words in one group.
+PART_CHARACTERS = 16_000_000
 #: Stands for a line end in a cut; no piece of a text is written so.
 LINE_END = "<0x0A>"
 #: Chunks whose ids a task keeps at hand.
@@ -50,6 +53,21 @@ _BY_SPACES = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 _WHOLE = r"(?s).+"
 
 
+class _Parts:
+    """Numbers of the parts that the texts of a partition are dealt to, in the order they are read."""
+
+    def __init__(self):
+        from pyspark import TaskContext
+
+        self.number, self.size = TaskContext.get().partitionId() << 20, 0
+
+    def of(self, text: str | None) -> int:
+        if self.size > PART_CHARACTERS:
+            self.number, self.size = self.number + 1, 0
+        self.size += len(text or "")
+        return self.number
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -284,19 +302,36 @@ def encode(documents: DataFrame, model_path: str | None = None, with_ids: bool =
     little-endian unsigned 32-bit numbers and of the UTF-8 bytes of the text decoded from them."""
     path = model_path or default_model()
     model = piece_model(path)
-    placed = documents.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunks, part = piece_model(path), set(), None
+        own, parts, chunks, now = piece_model(path), _Parts(), set(), None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            words = list({w for c in chunks for w in own.words(c) if 1 < len(w) <= LONG_WORD})
+            for i in range(0, len(words), 100_000):
+                some = words[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([now] * len(some), pa.int64())], ["word", "part"])
+
         for batch in batches:
-            for text, part in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                chunks.update(own.chunks(text.as_py()))
-        words = list({w for c in chunks for w in own.words(c) if 1 < len(w) <= LONG_WORD})
-        for i in range(0, len(words), 100_000):
-            some = words[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([part] * len(some), pa.int32())], ["word", "part"])
-
-    wanted = placed.mapInArrow(cut, "word string, part int").where("word is not null and length(word) > 1").repartition("word")
+            for text in batch.column(0):
+                text = text.as_py()
+                part = parts.of(text)
+                if part != now:
+                    yield from done()
+                    chunks, now = set(), part
+                chunks.update(own.chunks(text))
+        yield from done()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        parts, packer = _Parts(), zstandard.ZstdCompressor(1)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            small = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary()), pa.array(list(map(parts.of, texts)), pa.int64())], ["doc_id", "packed", "part"])
+
+    wanted = documents.select("text").mapInArrow(cut, "word string, part long").where("word is not null and length(word) > 1").repartition("word")
     # reading ``part`` here too lets Spark use the one shuffle of ``wanted`` for both sides of the join
     distinct = wanted.groupBy("word").agg(F.min("part").alias("first")).where("first is not null").select("word")
     own_words = wanted.join(cut_words(distinct, model), "word").select("part", "cut")
@@ -330,7 +365,8 @@ def encode(documents: DataFrame, model_path: str | None = None, with_ids: bool =
         rest = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: len(schema) - 1]
         return pa.Table.from_arrays([texts.column("doc_id"), *rest], schema.names)
 
-    texts = placed.select("doc_id", packed("text").alias("packed"), "part")
+    packed_schema = T.StructType([documents.schema["doc_id"], T.StructField("packed", T.BinaryType()), T.StructField("part", T.LongType())])
+    texts = documents.select("doc_id", "text").mapInArrow(pack, packed_schema)
     return texts.groupBy("part").cogroup(own_words.groupBy("part")).applyInArrow(join, schema)
 
 
