@@ -185,17 +185,17 @@ def test_gray_index_finds_all_and_prunes():
     assert index.visited < 0.1 * len(values) * len(values[::9])
 
 
-@pytest.mark.parametrize("group_rows", [4096, 40, 7])
-def test_links_of_groups_have_all_components(spark, group_rows):
+@pytest.mark.parametrize("groups", [None, 5, 30])
+def test_links_of_groups_have_all_components(spark, groups):
     rng = np.random.default_rng(8)
     center = 0x0123456789ABCDEF
     near = {center ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 20, (150, 2))}
     values = sorted(near | {int(x) for x in rng.integers(0, 2**62, 60)} | {0, 1, 7})
     df = spark.createDataFrame([(v,) for v in values] + [(-1,), (-2,), (-8,)], "fp long")
     values = [v % 2**64 for v in [*values, -1, -2, -8]]
-    grouped = simhash.gray_groups(df, group_rows)
-    assert grouped.select("grp").distinct().count() >= len(values) / group_rows / 2
-    root = {r.v % 2**64: r.root % 2**64 for r in simhash.components(simhash.link_forest(df, group_rows=group_rows)).collect()}
+    grouped = simhash.gray_groups(df, groups)
+    assert grouped.select("grp").distinct().count() >= (groups or 1) / 2
+    root = {r.v % 2**64: r.root % 2**64 for r in simhash.components(simhash.link_forest(df, groups=groups)).collect()}
     group = brute_components(values)
     classes = {}
     for v, g in zip(values, group, strict=True):

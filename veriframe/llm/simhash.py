@@ -1,9 +1,10 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-The distinct fingerprints are sorted by Gray rank and cut by it into groups of about ``GROUP_ROWS``. A node keeps
+The distinct fingerprints are sorted by Gray rank and cut by it into groups, an eighth as many as the square root of
+their number, so that groups and upper levels grow alike. A node keeps
 the bits its members share, as a mask and a pattern; bits that the node above shares already are left to
-it. The groups' nodes and the levels over them are the upper part of the hierarchy, at most ``MAX_GROUPS`` nodes of
-two longs, which every task holds; below, each group is a hierarchy of its own in one task. A search adds up the
+it. The groups' nodes and the levels over them are the upper part of the hierarchy, two longs for each node (half a
+megabyte for fifty billion fingerprints), which every task holds; below, each group is a hierarchy of its own in one task. A search adds up the
 differences from the root down and leaves out a node, with all that is under it, once they exceed ``distance``: a
 fingerprint is sent only to the groups it reaches, and there only to the members it reaches. Links are symmetric,
 so groups of lower rank than a fingerprint's own are left to their members' searches.
@@ -33,9 +34,6 @@ BITS = 64
 DISTANCE = 2
 SHINGLE = 3
 SEED = 42
-#: Distinct fingerprints of a group; more only where there would be over MAX_GROUPS groups.
-GROUP_ROWS = 4096
-MAX_GROUPS = 16_384
 _NODE = 16  # nodes or members under a node
 _TOGETHER = 512  # searches at a time
 
@@ -154,9 +152,9 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[other]], nodes[other]
 
 
-def gray_groups(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def gray_groups(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     """(grp, fp), stored: distinct fingerprints cut into groups by their Gray rank, numbered in its order."""
-    groups = min(MAX_GROUPS, max(1, -(-distinct.count() // group_rows)))
+    groups = groups or int(np.ceil(distinct.count() ** 0.5 / 8)) or 1
     ranged = distinct.select("fp", gray_order(F.col("fp")).alias("rank")).repartitionByRange(groups, "rank")
     return materialize(ranged.select(F.spark_partition_id().alias("grp"), "fp"), "gray-groups")
 
@@ -167,9 +165,9 @@ def upper_nodes(grouped: DataFrame) -> tuple[np.ndarray, GrayIndex]:
     return nodes["grp"].to_numpy(np.int32), GrayIndex(*(nodes[c].to_numpy(np.int64).view(np.uint64) for c in ("low", "high")))
 
 
-def link_forest(distinct: DataFrame, distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
+def link_forest(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
     """(u, v): links between the distinct ``fp`` values that have the components of all pairs within ``distance``."""
-    grouped = gray_groups(distinct, group_rows)
+    grouped = gray_groups(distinct, groups)
     numbers, upper = upper_nodes(grouped)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
