@@ -40,7 +40,7 @@ from .common import table, unpacker
 SPACE = "▁"
 LONG_WORD = 60
 #: Characters of text that are joined with the cuts of their words in one group.
-PART_CHARACTERS = 16_000_000
+PART_CHARACTERS = 32_000_000
 #: Stands for a line end in a cut; no piece of a text is written so.
 LINE_END = "<0x0A>"
 #: Chunks whose ids a task keeps at hand.
