@@ -6,7 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from veriframe.operators import advisory, duplicates, history, matching, summaries, trees, work_queue
+from veriframe.functions import text
+from veriframe.operators import advisory, duplicates, history, matching, similarity, summaries, trees, work_queue
 from veriframe.sources import archives
 from veriframe.streaming import ledger
 
@@ -98,9 +99,15 @@ def test_trees_inherit_and_stop_at_cycles(spark):
     nodes = spark.createDataFrame([("r", None, "Root"), ("a", "r", "Archive"), ("b", "a", "Leaf"), ("x", "y", "Lost"), ("y", "x", "Lost")], "node_id string, parent_id string, title string")
     got = {r.node_id: (r.depth, r.administrative, r.path) for r in trees.paths(nodes).collect()}
     assert got == {"r": (0, False, "Root"), "a": (1, True, "Root > Archive"), "b": (2, True, "Root > Archive > Leaf")}
-    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None, "n") for i in range(95)], "node_id string, parent_id string, title string")
-    assert trees.paths(deep).agg(F.max("depth")).first()[0] == 94
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None, "n") for i in range(1000)], "node_id string, parent_id string, title string")
+    assert trees.paths(deep).agg(F.max("depth"), F.count("*")).first()[:] == (999, 1000)
+    twice = nodes.unionByName(nodes)
+    assert trees.paths(twice).count() == 3
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "src int, dst int")
+    assert trees.closure(chain).where("root = 0").agg(F.max("depth"), F.count("*")).first()[:] == (300, 301)
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src int, dst int")
+    layers = spark.createDataFrame([(3 * k + a, 3 * k + 3 + b) for k in range(30) for a in range(3) for b in range(3)], "src int, dst int")
+    assert trees.closure(layers).where("root = 0").agg(F.max("depth"), F.count("*")).first()[:] == (30, 91)
     assert {(r.root, r.node, r.depth) for r in trees.closure(edges).where("root = 1").collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3)}
 
 
@@ -271,3 +278,20 @@ def test_gaps_gates_reviews_and_chains(spark):
     q = lambda rows: spark.createDataFrame(rows, "id int, prompt string, options array<string>")
     got = evidence.question_identity(q([(1, "What?", ["A", "b"]), (2, "why", []), (3, "Why!", []), (4, "x", None)]), q([(10, "what", ["a", "B "]), (11, "what", ["b", "a"]), (12, "why", [])]))
     assert {r.id: (r.kind, r.target_id) for r in got.collect()} == {1: ("EXACT", 10), 2: ("AMBIGUOUS", None), 3: ("AMBIGUOUS", None), 4: ("NONE", None)}
+
+
+def test_similar_names_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(220)} | {"a", "xabcdefghiy", "zabcdefghiw"})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = df.toDF("a").join(df.toDF("b")).where("a < b").select("a", "b", F.round(text.edit_similarity(F.col("a"), F.col("b")), 9).alias("score")).where("score >= 0.6")
+    assert {tuple(r) for r in similarity.similar_names(df, 0.6).collect()} == {tuple(r) for r in pairs.collect()}
+
+
+def test_a_chain_of_falling_rank_is_matched_to_its_end(spark):
+    n = 60
+    edges = [(f"s{i:03}", f"t{i:03}", 1 - 0.001 * (2 * i)) for i in range(n)] + [(f"s{i + 1:03}", f"t{i:03}", 1 - 0.001 * (2 * i + 1)) for i in range(n - 1)]
+    df = spark.createDataFrame([(s, t, False, True, x, 0.0) for s, t, x in edges], "source_id string, target_id string, exact_title boolean, compatible boolean, score_9 double, path_9 double")
+    assert {(r.source_id, r.target_id) for r in matching.match_plan(df).collect()} == {(f"s{i:03}", f"t{i:03}") for i in range(n)}

@@ -31,7 +31,7 @@ def duplicate_plan(records: DataFrame, metadata: Sequence[str]) -> DataFrame:
     so they never disagree. One shuffle: all parts are partial aggregates."""
     order = F.struct((~F.col("unsuffixed")).alias("late"), F.col("updated_at"), F.col("id"))
     newest = F.struct(F.coalesce("scanned_at", "updated_at"), F.col("id"))
-    differing = [F.when(F.count_distinct(_comparable(f)) > 1, f) for f in metadata]
+    differing = [F.when(F.min(_comparable(f)) != F.max(_comparable(f)), f) for f in metadata]
     plan = keyed_records(records).groupBy("partner_key", "semantic_key").agg(
         F.count("*").alias("members"),
         F.min_by("id", order).alias("survivor"),

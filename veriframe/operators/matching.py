@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,30 +63,40 @@ def unambiguous(edges: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the session's checkpoint folder; one is set only where there is none."""
+    """``df`` with its lineage cut in the session's checkpoint folder; one is set only where there is none, and only for
+    a session of one process, whose tasks share the driver's disk."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or "file:/tmp/checkpoints")
     return df.checkpoint()
 
 
-def match_plan(edges: DataFrame) -> DataFrame:
-    """One-to-one assignment: in rounds, edges that are the best of both their rows are taken and their rows leave;
-    this is the greedy assignment in order of rank. Each round ends the lineage; six rounds are typical, but a chain of
-    edges of falling rank takes one for every second edge. Rounds go on until no edge is left: the best edge of all is
-    always the best of both its rows. Edges without an id on either side are no edges."""
-    order = [F.desc("exact_title"), F.desc("compatible"), F.desc("score_9"), F.desc("path_9"), F.asc("source_id"), F.asc("target_id")]
-    left, plan = settled(unambiguous(edges.where("source_id is not null and target_id is not null"))), None
+def greedy(edges: DataFrame, order: Sequence[Column], source: str = "source_id", target: str = "target_id") -> DataFrame:
+    """The greedy one-to-one assignment in ``order``, a total order of the edges: in rounds, edges that are the best of
+    both their rows are taken and their rows leave. Each round ends the lineage. A chain of edges of falling rank
+    takes a round for every second edge; rounds go on until no edge is left, for the best edge of all is always the
+    best of both its rows."""
+    left, plan = settled(edges), None
     while not left.isEmpty():
-        best = left.withColumn("s", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
-        best = best.withColumn("t", F.row_number().over(Window.partitionBy("target_id").orderBy(*order))).where("s = 1 and t = 1").drop("s", "t")
+        best = left.withColumn("s", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
+        best = best.withColumn("t", F.row_number().over(Window.partitionBy(target).orderBy(*order))).where("s = 1 and t = 1").drop("s", "t")
         best = settled(best)
         if best.isEmpty():  # edges given twice that no rank tells apart
             raise RuntimeError("edges remain, but none is the best of both its rows")
         plan = best if plan is None else plan.unionByName(best)
-        left = settled(left.join(best.select("source_id"), "source_id", "left_anti").join(best.select("target_id"), "target_id", "left_anti"))
+        left = settled(left.join(best.select(source), source, "left_anti").join(best.select(target), target, "left_anti"))
+    return left if plan is None else plan
+
+
+def match_plan(edges: DataFrame) -> DataFrame:
+    """One-to-one assignment, greedy in order of rank, of the edges that are not ambiguous. Edges without an id on
+    either side are no edges."""
+    order = [F.desc("exact_title"), F.desc("compatible"), F.desc("score_9"), F.desc("path_9"), F.asc("source_id"), F.asc("target_id")]
     method = F.when(F.col("exact_title"), "EXACT_TITLE").when(F.col("compatible"), "TYPE_COMPATIBLE").otherwise("FUZZY")
-    return (left if plan is None else plan).withColumn("method", method)
+    return greedy(unambiguous(edges.where("source_id is not null and target_id is not null")), order).withColumn("method", method)
 
 
 def key_candidates(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

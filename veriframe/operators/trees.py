@@ -1,37 +1,45 @@
-"""Hierarchies as adjacency tables, walked by recursive queries."""
+"""Hierarchies as adjacency tables, walked by doubling: each round joins stretches of a path to stretches twice as long,
+so that a depth of thousands takes a dozen rounds. Each round ends in a stored table."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MAX_DEPTH = 100
+from .matching import settled
 
 
-def paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """(node_id, depth, path, administrative) of nodes(node_id, parent_id, title) reachable from a root; a node
-    is administrative below an administrative ancestor too. A path never enters a node twice."""
-    name = f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(name)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(node_id, depth, path, seen, administrative) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT node_id, 0, title, array(node_id), lower(title) LIKE '%archive%' FROM {name} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.node_id, w.depth + 1, concat(w.path, ' > ', n.title), array_append(w.seen, n.node_id),
-                 w.administrative OR lower(n.title) LIKE '%archive%'
-          FROM walk w JOIN {name} n ON n.parent_id = w.node_id WHERE NOT array_contains(w.seen, n.node_id))
-        SELECT node_id, depth, path, administrative FROM walk""")
-
-
-def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(root, node, depth): everything that each root of edges(src, dst) reaches, by its shortest way; cycles end."""
-    name = f"edges_{uuid.uuid4().hex}"
-    edges.createOrReplaceTempView(name)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE reach(root, node, depth, seen) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT DISTINCT src, src, 0, array(src) FROM {name}
-          UNION ALL
-          SELECT r.root, e.dst, r.depth + 1, array_append(r.seen, e.dst)
-          FROM reach r JOIN {name} e ON e.src = r.node WHERE NOT array_contains(r.seen, e.dst))
-        SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node""")
+    is administrative below an administrative ancestor too. A node given several times is taken once, under its
+    smallest parent; nodes on or below a cycle, or below a parent that isn't there, are not reachable."""
+    once = nodes.where("node_id is not null").groupBy("node_id").agg(F.min(F.struct(F.col("parent_id").isNotNull(), "parent_id", "title")).alias("n")).select("node_id", "n.parent_id", "n.title")
+    own = F.coalesce(F.contains(F.lower("title"), F.lit("archive")), F.lit(False))
+    walked = settled(once.select("node_id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.coalesce("title", F.lit("")).alias("path"), own.alias("administrative")))
+    reach, n = 1, walked.count()
+    while reach <= n and not walked.where("up is not null").isEmpty():
+        above = walked.toDF("up", "above", "more", "head", "kept")
+        longer = walked.join(above, "up").select(
+            "node_id", F.col("above").alias("up"), (F.col("depth") + F.col("more") + 1).alias("depth"), F.concat("head", F.lit(" > "), "path").alias("path"),
+            (F.col("administrative") | F.col("kept")).alias("administrative"),
+        )
+        walked = settled(walked.where("up is null").unionByName(longer))
+        reach *= 2
+    return walked.where("up is null").select("node_id", "depth", "path", "administrative")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(root, node, depth): everything that each root of edges(src, dst) reaches, by its shortest way; cycles end. What
+    lies between k and 2k steps away is found from the rows at exactly k steps."""
+    plain = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    roots = plain.select(F.col("src").alias("root"), F.col("src").alias("node"), F.lit(0).alias("depth")).distinct()
+    known = settled(roots.unionByName(plain.where("src != dst").select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth"))))
+    k = 1
+    while not known.where(F.col("depth") == k).isEmpty():
+        far = known.where(F.col("depth") == k).select("root", F.col("node").alias("via"))
+        steps = known.where("depth > 0").select(F.col("root").alias("via"), "node", "depth")
+        further = far.join(steps, "via").groupBy("root", "node").agg((F.min("depth") + k).alias("depth"))
+        new = further.join(known.select("root", "node"), ["root", "node"], "left_anti")
+        known = settled(known.unionByName(new.select("root", "node", "depth")))
+        k *= 2
+    return known

@@ -57,10 +57,9 @@ def evidence_strength(spark, sf_dir: str) -> DataFrame:
 
 
 def question_identity(spark, sf_dir: str) -> DataFrame:
-    """User turns as prompts with the answers' first words as options, in two halves by the length of the prompt."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.split("text", " ").alias("w"), "role")
-    q = c.select("id", "role", F.element_at("w", 1).alias("prompt"), F.slice("w", 2, 1).alias("options")).where("size(options) > 0")
-    return evidence.question_identity(q.where("role = 'user'"), q.where("role != 'user'"))
+    """User turns against the other turns: the whole text is the prompt, its lines are the options."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("prompt"), F.split("text", "\n").alias("options"), "role")
+    return evidence.question_identity(c.where("role = 'user'"), c.where("role != 'user'"))
 
 
 def merged_reviews(spark, sf_dir: str) -> DataFrame:
@@ -87,7 +86,8 @@ QUERIES = {f.__name__: f for f in (
 
 _TRAVERSAL = """WITH s AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag <> 'A'),
     t AS (SELECT o_custkey, count(*) AS eligible, count(s.k) AS visited, count(*) = count(s.k) AS complete FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) LEFT JOIN s ON k = o_orderkey GROUP BY o_custkey)"""
-_KEY = r"sha256(concat_ws(chr(1), trim(regexp_replace(lower(w[1]), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(w[2]), '[^a-z0-9]+', ' ', 'g'))))"
+_NAME = r"trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_KEY = f"sha256(concat_ws(chr(1), {_NAME.format('text')}, array_to_string([{_NAME.format('x')} FOR x IN string_split(text, chr(10))], chr(1))))"
 
 ORACLE_SQL = {
     "merged_evidence": """WITH l AS (SELECT l_partkey, CASE WHEN l_discount > 0.05 THEN l_returnflag END AS f, CASE WHEN l_tax > 0.04 THEN l_linestatus END AS s,
@@ -107,7 +107,7 @@ ORACLE_SQL = {
     "evidence_strength": """WITH v AS (SELECT l_returnflag, round(least(CASE WHEN l_returnflag = 'A' THEN 60 ELSE 100 END, greatest(0, l_quantity * 2 * 0.7::DOUBLE + (100 - l_discount * 100) * 0.3::DOUBLE + least(l_linenumber, 5) * 2)), 6) AS v,
           least(CASE WHEN l_returnflag = 'A' THEN 60 ELSE 100 END, greatest(0, l_quantity * 2 * 0.7::DOUBLE + (100 - l_discount * 100) * 0.3::DOUBLE + least(l_linenumber, 5) * 2)) AS r FROM lineitem)
         SELECT l_returnflag, CASE WHEN r >= 95 THEN 'DEFINITIVE' WHEN r >= 85 THEN 'STRONG' WHEN r >= 70 THEN 'MODERATE' ELSE 'LIMITED' END AS label, count(*) AS items, round(avg(v), 4) AS average FROM v GROUP BY ALL""",
-    "question_identity": f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, role, string_split(text, ' ') AS w FROM conversations), q AS (SELECT id, role = 'user' AS mine, {_KEY} AS key FROM c WHERE len(w) > 1),
+    "question_identity": f"""WITH q AS (SELECT concat_ws(':', conv_id, turn) AS id, role = 'user' AS mine, {_KEY} AS key FROM conversations),
         s AS (SELECT key, count(*) AS n FROM q WHERE mine GROUP BY key), t AS (SELECT key, count(*) AS m, min(id) AS target FROM q WHERE NOT mine GROUP BY key)
         SELECT id, CASE WHEN m IS NULL THEN 'NONE' WHEN n = 1 AND m = 1 THEN 'EXACT' ELSE 'AMBIGUOUS' END AS kind, CASE WHEN n = 1 AND m = 1 THEN target END AS target_id FROM q JOIN s USING (key) LEFT JOIN t USING (key) WHERE mine""",
     "merged_reviews": """WITH l AS (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS last FROM orders)

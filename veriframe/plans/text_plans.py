@@ -56,39 +56,26 @@ def trigram_cosine_pairs(spark, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_part_names(spark, sf_dir: str) -> DataFrame:
-    """Distinct product names against distinct brand-and-type names by edit similarity; names meet if they share
-    a first or last letter (a score of 0.5 is not reached by names that share none)."""
-    p = table(spark, sf_dir, "part")
-    names = p.select(text.alnum("p_name").alias("name")).distinct()
-    ends = lambda c: F.array_distinct(F.array(F.substring(c, 1, 1), F.substring(c, -1, 1)))
-    a = names.select(F.col("name").alias("a"), F.explode(ends(F.col("name"))).alias("k"))
-    b = names.select(F.col("name").alias("b"), F.explode(ends(F.col("name"))).alias("k"))
-    pairs = a.join(b, "k").where("a < b").select("a", "b").distinct()
-    return pairs.select("a", "b", F.round(text.edit_similarity(F.col("a"), F.col("b")), 9).alias("score")).where("score >= 0.6")
-
-
-def _document_shingles(spark, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents")
-    return t.select("doc_id", F.explode(text.shingles(text.words("text"), 5)).alias("shingle"))
+    """Pairs of distinct product names with an edit similarity of 0.6 or more."""
+    names = table(spark, sf_dir, "part").select(text.alnum("p_name").alias("name")).where("name is not null").distinct()
+    return similarity.similar_names(names, 0.6)
 
 
 def contamination(spark, sf_dir: str) -> DataFrame:
     """Shared five-word shingles of documents and benchmark items, and their share of the item's."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", text.shingles(text.words("text"), 5).alias("s"))
-    items = b.select("item_id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    hits = _document_shingles(spark, sf_dir).join(items, "shingle").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"))
-    return hits.select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 9).alias("share")).where("share >= 0.5")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = similarity.shared_shingles(documents, "doc_id", items, 5)
+    return hits.select("doc_id", F.col("id").alias("item_id"), "shared", F.round(F.col("shared") / F.col("n"), 9).alias("share")).where("share >= 0.5")
 
 
 def passage_novelty(spark, sf_dir: str) -> DataFrame:
     """Sentences of benchmark items whose shingles are novel against the documents: 3 or more and 30 % or more."""
     b = table(spark, sf_dir, "benchmark")
-    sentences = b.select("item_id", F.posexplode(F.split("text", r"(?<=[.!?])[\x09-\x0D\x20]+|\n+")).alias("place", "sentence"))
-    grams = sentences.select("item_id", "place", F.explode(text.shingles(text.words("sentence"), 5)).alias("shingle"))
-    known = _document_shingles(spark, sf_dir).select("shingle").distinct()
-    total = grams.groupBy("item_id", "place").agg(F.count("*").alias("n"))
-    novel = grams.join(known, "shingle", "left_anti").groupBy("item_id", "place").agg(F.count("*").alias("novel"))
-    return novel.join(total, ["item_id", "place"]).where("novel >= 3 and novel >= 0.3 * n").select("item_id", F.col("place").cast("long").alias("place"), "novel", "n")
+    sentences = b.select("item_id", F.posexplode(F.split("text", r"(?<=[.!?])[\x09-\x0D\x20]+|\n+")).alias("place", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = similarity.novel_shingles(sentences, ["item_id", "place"], documents, 5)
+    return rows.where("novel >= 3 and novel >= 0.3 * n").select("item_id", F.col("place").cast("long").alias("place"), "novel", "n")
 
 
 def exact_text_candidates(spark, sf_dir: str) -> DataFrame:
@@ -174,9 +161,10 @@ def chat_turn_pairs(spark, sf_dir: str) -> DataFrame:
 
 def answer_coverage(spark, sf_dir: str) -> DataFrame:
     """How much of each user turn stands in the answer after it."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role", "conv_id", "turn")
+    key = lambda turn: F.concat_ws(":", "conv_id", turn)
+    c = table(spark, sf_dir, "conversations").select(key("turn").alias("id"), key(F.col("turn") + 1).alias("next"), "text", "role")
     asked = c.where("role = 'user'")
-    pairs = asked.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
+    pairs = asked.select(F.col("id").alias("source_id"), F.col("next").alias("target_id"))
     return similarity.directional_coverage(pairs, asked.select("id", "text"), c.where("role = 'assistant'").select("id", "text"))
 
 
@@ -217,7 +205,7 @@ ORACLE_SQL = {
         d AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.n * y.n) AS dot FROM g x JOIN g y ON x.gram = y.gram AND x.item_id < y.item_id GROUP BY ALL)
         SELECT a, b, round(dot::DOUBLE / sqrt(p.norm::DOUBLE * q.norm::DOUBLE), 9) AS cosine FROM d JOIN m p ON p.item_id = a JOIN m q ON q.item_id = b""",
     "fuzzy_part_names": f"""WITH n AS (SELECT DISTINCT {sql.alnum('p_name')} AS s FROM part)
-        SELECT a.s AS a, b.s AS b, round({sql.edit('a.s', 'b.s')}, 9) AS score FROM n a JOIN n b ON a.s < b.s AND (a.s[1] = b.s[1] OR a.s[1] = b.s[-1] OR a.s[-1] = b.s[1] OR a.s[-1] = b.s[-1])
+        SELECT a.s AS a, b.s AS b, round({sql.edit('a.s', 'b.s')}, 9) AS score FROM n a JOIN n b ON a.s < b.s
         WHERE round({sql.edit('a.s', 'b.s')}, 9) >= 0.6""",
     "contamination": f"""WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_ALL_WORDS} AS w FROM documents) WHERE len(w) > 4),
         b AS (SELECT item_id, len(x) AS n, unnest(x) AS s FROM (SELECT item_id, {_SHINGLES} AS x FROM (SELECT item_id, {_ALL_WORDS} AS w FROM benchmark) WHERE len(w) > 4))
@@ -261,10 +249,10 @@ ORACLE_SQL["passage_novelty"] = rf"""WITH d AS (SELECT DISTINCT unnest({_SHINGLE
     g AS (SELECT item_id, place, unnest({_SHINGLES}) AS s FROM (SELECT item_id, place, {_ALL_WORDS} AS w FROM e) WHERE len(w) > 4)
     SELECT item_id, place::BIGINT AS place, count(*) FILTER (d.s IS NULL) AS novel, count(*) AS n FROM g LEFT JOIN d USING (s) GROUP BY item_id, place
     HAVING count(*) FILTER (d.s IS NULL) >= 3 AND count(*) FILTER (d.s IS NULL) >= 0.3 * count(*)"""
-ORACLE_SQL["answer_coverage"] = f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, role, {sql.clean('text')} AS clean, {sql.name('text')} AS normal, {sql.semantic_tokens('text')} AS w FROM conversations),
+ORACLE_SQL["answer_coverage"] = f"""WITH c AS (SELECT concat_ws(':', conv_id, turn) AS id, concat_ws(':', conv_id, turn + 1) AS next, role, {sql.clean('text')} AS clean, {sql.name('text')} AS normal, {sql.semantic_tokens('text')} AS w FROM conversations),
     f AS (SELECT *, list_distinct(w) AS u, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)]) AS b FROM c),
     g AS (SELECT id, gram, count(*) AS n FROM (SELECT id, lower(clean)[i:i+2] AS gram FROM (SELECT id, clean, unnest(generate_series(1, length(clean) - 2)) AS i FROM c)) GROUP BY ALL), m AS (SELECT id, sum(n * n)::DOUBLE AS norm FROM g GROUP BY id),
-    p AS (SELECT s.id AS source_id, t.id AS target_id, s.clean AS sc, t.clean AS tc, s.normal AS sn, t.normal AS tn, s.w AS sw, t.w AS tw, s.u AS su, t.u AS tu, s.b AS sb, t.b AS tb FROM f s JOIN f t ON t.id = s.id + 1 WHERE s.role = 'user' AND t.role = 'assistant'),
+    p AS (SELECT s.id AS source_id, t.id AS target_id, s.clean AS sc, t.clean AS tc, s.normal AS sn, t.normal AS tn, s.w AS sw, t.w AS tw, s.u AS su, t.u AS tu, s.b AS sb, t.b AS tb FROM f s JOIN f t ON t.id = s.next WHERE s.role = 'user' AND t.role = 'assistant'),
     d AS (SELECT source_id, sum(x.n * y.n)::DOUBLE AS dot FROM p JOIN g x ON x.id = source_id JOIN g y ON y.id = target_id AND y.gram = x.gram GROUP BY source_id)
     SELECT p.source_id, p.target_id, round(CASE WHEN length(sc) < 80 OR length(tc) < 80 THEN 0 WHEN length(sn) >= 80 AND contains(tn, sn) THEN 1 WHEN len(sw) < 12 OR len(tw) < 12 THEN 0
       ELSE greatest(0, least(1, len(list_intersect(su, tu))::DOUBLE / len(su) * 0.42::DOUBLE + CASE WHEN len(sb) > 0 THEN len(list_intersect(sb, tb))::DOUBLE / len(sb) ELSE 0 END * 0.43::DOUBLE + coalesce(dot / sqrt(a.norm * b.norm), 0) * 0.15::DOUBLE)) END, 9) AS score

@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share; a local one only if they are one process and none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "file:/tmp/checkpoints").rstrip("/")
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
