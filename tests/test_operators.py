@@ -253,8 +253,43 @@ def test_question_banks(spark):
     assert got == {"q1": ("Pick & choose", "choice", [("a", "One", True), ("b", "Two", False)]), "q2": ("Say why", "text", []), "q3": ("", "multiple", [("x", "", None)])}
     bank = ["junk", "NewQuestion,MC", "QuestionText,What is it?", "Option,100,This", "Option,0,That, or so", "NewQuestion,TF", "Option,100,True", "NewQuestion,WR", "QuestionText,Why?"]
     lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(bank)], "file string, place int, line string")
-    rows = {r.question: (r.kind, r.prompt, r.options, r.right, r.state) for r in assessments.bank_questions(lines, ["file"]).collect()}
-    assert rows == {1: ("MC", "What is it?", 2, 1, "COMPLETE"), 2: ("TF", None, 1, 1, "INCOMPLETE"), 3: ("WR", "Why?", 0, 0, "INCOMPLETE")}
+    rows = {r.question: (r.kind, r.prompt, [(o.text, o.weight) for o in r.options], r.right, r.gaps, r.state) for r in assessments.bank_questions(lines, ["file"]).collect()}
+    assert rows == {
+        1: ("MC", "What is it?", [("This", 100), ("That, or so", 0)], 1, "", "COMPLETE"), 2: ("TF", None, [("True", 100)], 1, "PROMPT,OPTIONS", "INCOMPLETE"), 3: ("WR", "Why?", [], 0, "OPTIONS", "INCOMPLETE"),
+    }
+
+
+def test_sinks_guard_formulas_and_workbooks_come_back(spark):
+    from veriframe.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1, "=1", 'x,"y"\n'), ("a", 2, None, "-"), ("b", 3, "\t+z", "é\x01<&")], "k string, n int, s string, t string")
+    assert [r.l for r in rows.select(sinks.csv_line([F.col("n"), F.col("s"), F.col("t")]).alias("l")).collect()] == ["1,'=1,\"x,\"\"y\"\"\n\"", "2,,'-", "3,'\t+z,é\x01<&"]
+    cells = archives.cells_of(sinks.workbooks(rows, "k", ["n", "s", "t"]).unionByName(spark.createDataFrame([("bad", b"zip"), ("half", sinks.archive({"xl/workbook.xml": "<a"}))], "path string, content binary")))
+    got = {(r.workbook, r.row, r.col): r.value for r in cells.where("problem is null").collect()}
+    assert got[("a.xlsx", 0, 2)] == "t" and got[("a.xlsx", 1, 2)] == 'x,"y"\n' and ("a.xlsx", 2, 1) not in got and got[("b.xlsx", 1, 2)] == "é<&"
+    assert {r.workbook: r.problem for r in cells.where("problem is not null").collect()} == {"bad": "BAD_WORKBOOK: BadZipFile", "half": "BAD_WORKBOOK: KeyError"}
+
+
+def test_fields_options_and_answers_are_compared(spark):
+    from veriframe.functions import questions as q
+
+    pairs = [("12 cm", "12cm", 1.0), ("12 cm", "12 in", 0.0), ("\\frac{1}{2}", "\\(\\frac{1}{2}\\)", 1.0), ("Same, words", "same words!", 1.0), ("begins here", "Begins here, and goes on", 0.98), ("stands inside", "it stands inside this", 0.95), ("", "x", 0.0), (None, None, 0.0), ("abc def", "xyz", 0.0)]
+    df = spark.createDataFrame(pairs, "a string, b string, want double")
+    for r in df.select("*", q.field_similarity(F.col("a"), F.col("b")).alias("got")).collect():
+        assert r.got == pytest.approx(r.want), r
+    close = spark.createDataFrame([("the quick brown fox", "the quick red fox")], "a string, b string").select(q.field_similarity(F.col("a"), F.col("b"))).first()[0]
+    grams = lambda t: [t[i : i + 3] for i in range(len(t) - 2)]
+    from collections import Counter
+    from math import sqrt
+
+    x, y = Counter(grams("the quick brown fox")), Counter(grams("the quick red fox"))
+    cosine = sum(n * y[g] for g, n in x.items()) / sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+    assert close == pytest.approx(0.58 * 2 / 4 + 0.42 * cosine)
+    option = "struct<label:string,description:string,text:string,correct:boolean>"
+    sets = spark.createDataFrame([([("1 cm", None, None, True), ("2 cm", None, None, False)], [("2 cm", None, None, None), ("1 cm", None, "", None), (None, None, None, None), ("3 cm", None, None, None)])], f"a array<{option}>, b array<{option}>")
+    left, right = q.normal_options(F.col("a")), q.normal_options(F.col("b"))
+    assert sets.select(q.option_set_similarity(left, right)).first()[0] == pytest.approx(2 / 3)
+    assert sets.select(q.option_set_similarity(F.filter(left, lambda o: F.lit(False)), right)).first()[0] is None
 
 
 def test_gaps_gates_reviews_and_chains(spark):

@@ -10,14 +10,16 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_ENTRIES = 50_000
-MAX_CELLS = 2_000_000
+#: Rows of a file that are given on at a time.
+ROWS_TOGETHER = 256
+_CHUNK = 1 << 20
 _BAD_XML = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 _BARE_AMPERSAND = re.compile(r"&(?!(?:[a-zA-Z][\w.-]*|#\d+|#x[0-9a-fA-F]+);)")
 
@@ -44,35 +46,44 @@ def _per_file(df: DataFrame, schema: str, rows_of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = rows_of(path, content.as_py())
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+                rows = iter(rows_of(path, content.as_py()))
+                while part := list(islice(rows, ROWS_TOGETHER)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], schema=arrow)
 
     return df.select("path", "content").mapInArrow(run, schema)
 
 
 def archive_entries(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """(package, name, size, sha256, text, problem): entries of archives; a bad archive is one row with its problem,
-    an entry outside the archive's root is refused, text is there for markup only."""
+    return entries_of(files(spark, path, pattern))
+
+
+def entries_of(packages: DataFrame) -> DataFrame:
+    """(package, name, size, sha256, text, problem): entries of archives(path, content); a bad archive is one row with its
+    problem, an entry outside the archive's root is refused, text is there for markup only. Entries are read and given on
+    one after the other, other than markup in pieces, so that an archive may hold more than a task's memory."""
 
     def rows_of(package: str, content: bytes):
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                infos = [i for i in z.infolist() if not i.is_dir()]
-                if len(infos) > MAX_ENTRIES:
-                    return [(package, None, None, None, None, "TOO_MANY_ENTRIES")]
-                out = []
-                for i in infos:
+                for i in z.infolist():
+                    if i.is_dir():
+                        continue
                     if i.filename.startswith("/") or ".." in i.filename.split("/"):
-                        out.append((package, i.filename, i.file_size, None, None, "UNSAFE_PATH"))
+                        yield package, i.filename, i.file_size, None, None, "UNSAFE_PATH"
                         continue
-                    data = z.read(i)
-                    text = data.decode("utf-8", "replace") if i.filename.lower().endswith((".xml", ".html", ".htm", ".json")) else None
-                    out.append((package, i.filename, len(data), hashlib.sha256(data).hexdigest(), text, None))
-                return out
-        except (zipfile.BadZipFile, RuntimeError, zipfile.zlib.error) as e:
-            return [(package, None, None, None, None, f"BAD_ARCHIVE: {type(e).__name__}")]
+                    markup = i.filename.lower().endswith((".xml", ".html", ".htm", ".json"))
+                    digest, size, kept = hashlib.sha256(), 0, []
+                    with z.open(i) as member:
+                        while data := member.read(_CHUNK):
+                            digest.update(data)
+                            size += len(data)
+                            if markup:
+                                kept.append(data)
+                    yield package, i.filename, size, digest.hexdigest(), b"".join(kept).decode("utf-8", "replace") if markup else None, None
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zipfile.zlib.error) as e:
+            yield package, None, None, None, None, f"BAD_ARCHIVE: {type(e).__name__}"
 
-    return _per_file(files(spark, path, pattern), "package string, name string, size long, sha256 string, text string, problem string", rows_of)
+    return _per_file(packages, "package string, name string, size long, sha256 string, text string, problem string", rows_of)
 
 
 def _local(tag: str) -> str:
@@ -137,43 +148,56 @@ def missing_files(manifest: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def workbook_cells(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
-    """(workbook, sheet, row, col, value): non-empty cells, rows and columns from 0. A formula without a stored
-    value has a null value."""
-
-    def column(ref: str) -> int:
-        n = 0
-        for c in re.match(r"[A-Z]+", ref)[0]:
-            n = n * 26 + ord(c) - 64
-        return n - 1
+    return cells_of(files(spark, path, pattern))
+
+
+def _column(ref: str) -> int:
+    n = 0
+    for c in re.match(r"[A-Z]+", ref)[0]:
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
+def _cells(z: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str | None]]:
+    names = set(z.namelist())
+    shared = []
+    if "xl/sharedStrings.xml" in names:
+        shared = ["".join(t.text or "" for t in s.iter() if _local(t.tag) == "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+    links = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    for sheet in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e.tag) == "sheet"):
+        target = links[next(v for k, v in sheet.attrib.items() if _local(k) == "id")].lstrip("/")
+        with z.open(target if target.startswith("xl/") else f"xl/{target}") as part:
+            for _, c in ElementTree.iterparse(part):  # a row at a time
+                if _local(c.tag) == "row":
+                    c.clear()
+                if _local(c.tag) != "c":
+                    continue
+                parts = {_local(x.tag): x for x in c}
+                value = parts["v"].text if "v" in parts else None
+                if c.get("t") == "s" and value is not None:
+                    value = shared[int(value)]
+                elif c.get("t") == "inlineStr":
+                    value = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
+                elif c.get("t") == "b":
+                    value = "TRUE" if value == "1" else "FALSE"
+                if value is not None or "f" in parts:
+                    yield sheet.get("name"), int(re.sub(r"\D", "", c.get("r"))) - 1, _column(c.get("r")), value
+
+
+def cells_of(workbooks: DataFrame) -> DataFrame:
+    """(workbook, sheet, row, col, value, problem) of workbooks(path, content): non-empty cells, rows and columns from 0.
+    A formula without a stored value has a null value; a workbook that can't be read, or not to its end, has a
+    row with its problem."""
 
     def rows_of(workbook: str, content: bytes):
-        out: list[tuple] = []
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = set(z.namelist())
-            shared = []
-            if "xl/sharedStrings.xml" in names:
-                shared = ["".join(t.text or "" for t in s.iter() if _local(t.tag) == "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-            links = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-            for sheet in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e.tag) == "sheet"):
-                target = links[next(v for k, v in sheet.attrib.items() if _local(k) == "id")].lstrip("/")
-                target = target if target.startswith("xl/") else f"xl/{target}"
-                for c in (e for e in ElementTree.fromstring(z.read(target)).iter() if _local(e.tag) == "c"):
-                    parts = {_local(x.tag): x for x in c}
-                    value = parts["v"].text if "v" in parts else None
-                    if c.get("t") == "s" and value is not None:
-                        value = shared[int(value)]
-                    elif c.get("t") == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
-                    elif c.get("t") == "b":
-                        value = "TRUE" if value == "1" else "FALSE"
-                    if value is None and "f" not in parts:
-                        continue
-                    out.append((workbook, sheet.get("name"), int(re.sub(r"\D", "", c.get("r"))) - 1, column(c.get("r")), value))
-                    if len(out) > MAX_CELLS:
-                        raise ValueError(f"{workbook} has over {MAX_CELLS} cells")
-        return out
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for cell in _cells(z):
+                    yield workbook, *cell, None
+        except (zipfile.BadZipFile, zipfile.zlib.error, RuntimeError, NotImplementedError, ElementTree.ParseError, KeyError, IndexError, ValueError, TypeError, AttributeError) as e:
+            yield workbook, None, None, None, None, f"BAD_WORKBOOK: {type(e).__name__}"
 
-    return _per_file(files(spark, path, pattern), "workbook string, sheet string, row int, col int, value string", rows_of)
+    return _per_file(workbooks, "workbook string, sheet string, row int, col int, value string, problem string", rows_of)
 
 
 def table_of(cells: DataFrame, columns: dict[str, tuple[str, ...]], header_row: int = 0) -> DataFrame:

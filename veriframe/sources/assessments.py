@@ -57,16 +57,24 @@ def qti_questions(documents: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def bank_questions(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Questions of line banks: lines(keys, place, line) with NewQuestion, QuestionText and Option fields, comma-separated.
-    A question runs to the next NewQuestion; one without text or with fewer than two options is INCOMPLETE."""
-    parts = F.split("line", ",", 3)
-    field = F.trim(F.get(parts, F.lit(0)))
-    rows = lines.select(*keys, "place", field.alias("field"), F.trim(F.get(parts, F.lit(1))).alias("first"), F.trim(F.get(parts, F.lit(2))).alias("second"))
+    """Questions of line banks: lines(keys, place, line) with NewQuestion, QuestionText and Option fields, comma-separated,
+    quoted where they must be; a text that isn't quoted goes on to the end of its line, less the format that ends
+    it. One row per question: kind, prompt, options (text, weight) in order, how many are right, its gaps and state.
+    A question runs to the next NewQuestion; one with gaps is INCOMPLETE."""
+    cells = F.from_csv("line", F.lit("field string, first string, second string"), {"mode": "PERMISSIVE"})
+    after = lambda c: F.trim(F.regexp_replace(c, r"^[^,]*,", ""))  # noqa: E731  what follows the first field
+    ended = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r",+\s*$", ""), r"(?i),\s*(?:html|text)\s*$", ""))
+    rows = lines.select(*keys, "place", cells.alias("c"), after(F.col("line")).alias("first"), after(after(F.col("line"))).alias("second")).withColumn("field", F.trim("c.field"))
     w = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("question", F.sum((F.col("field") == "NewQuestion").cast("int")).over(w)).where("question > 0")
+    text = lambda n: F.trim(F.when(F.startswith(n, F.lit('"')), F.col(f"c.{n}")).otherwise(ended(F.col(n))))
+    option = F.struct("place", text("second").alias("text"), F.trim("c.first").try_cast("double").alias("weight"))
     grouped = rows.groupBy(*keys, "question").agg(
-        F.max(F.when(F.col("field") == "NewQuestion", F.col("first"))).alias("kind"), F.max(F.when(F.col("field") == "QuestionText", F.col("first"))).alias("prompt"),
-        F.count_if(F.col("field") == "Option").alias("options"), F.count_if((F.col("field") == "Option") & (F.col("first") == "100")).alias("right"),
+        F.max(F.when(F.col("field") == "NewQuestion", F.trim("c.first"))).alias("kind"), F.max(F.when(F.col("field") == "QuestionText", text("first"))).alias("prompt"),
+        F.sort_array(F.collect_list(F.when(F.col("field") == "Option", option))).alias("listed"),
     )
-    complete = F.col("prompt").isNotNull() & (F.col("options") >= 2)
-    return grouped.withColumn("state", F.when(complete, "COMPLETE").otherwise("INCOMPLETE"))
+    options = F.transform("listed", lambda o: F.struct(o["text"].alias("text"), o["weight"].alias("weight")))
+    gaps = F.array_compact(F.array(F.when(F.coalesce("prompt", F.lit("")) == "", "PROMPT"), F.when(F.size("listed") < 2, "OPTIONS"), F.when(F.exists("listed", lambda o: o["weight"].isNull()), "WEIGHT")))
+    out = grouped.select(*keys, "question", "kind", "prompt", options.alias("options"), gaps.alias("gaps"))
+    right = F.size(F.filter("options", lambda o: o["weight"] == 100)).cast("long")
+    return out.select(*keys, "question", "kind", "prompt", "options", right.alias("right"), F.array_join("gaps", ",").alias("gaps"), F.when(F.size("gaps") == 0, "COMPLETE").otherwise("INCOMPLETE").alias("state"))
