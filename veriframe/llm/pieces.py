@@ -44,7 +44,7 @@ PART_CHARACTERS = 32_000_000
 #: Stands for a line end in a cut; no piece of a text is written so.
 LINE_END = "<0x0A>"
 #: Chunks whose ids a task keeps at hand.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 UNKNOWN_PENALTY = 10.0  # below the worst score: the score of a character without a piece in a unigram model
 
 _MARKS = r"\W\d_²³¹¼½¾"  # what isn't taken for a letter
@@ -140,7 +140,9 @@ class PieceModel:
         return text.split(" ")
 
     def words(self, chunk: str) -> list[str]:
-        """The words of a chunk, cut where no piece crosses."""
+        """The words of a chunk, cut where no piece crosses; letters alone are one word under every rule."""
+        if chunk.isalpha():
+            return [SPACE + chunk]
         return self.cut.findall(chunk if chunk[:1] == SPACE else SPACE + chunk)
 
     def from_cut(self, pieces: str) -> bytes:
