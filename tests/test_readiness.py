@@ -88,3 +88,22 @@ def test_first_of_equal_revisions(spark):
     audits = spark.createDataFrame([("a", 1), ("b", None)], "id string, generation int")
     repairs = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("a", None, 3), ("c", 9, 1)], "run_id string, to_generation int, position int")
     assert {tuple(r) for r in readiness.with_lineage_repairs(audits, repairs).select("id", "generation", "repaired").collect()} == {("a", 3, True), ("b", None, False)}
+
+
+def test_texts_without_lines_and_other_precisions(spark):
+    null = F.lit(None).cast("string")
+    row = one(
+        spark, captures.text_quality(null).alias("a"), captures.text_quality(F.lit("\u00a0\n[PAGE 1]")).alias("b"), captures.text_quality(F.lit("Loading…\r\n/ 3")).alias("c"), captures.text_quality(F.concat(F.lit("5%\n/ 9\n"), F.repeat(F.lit("x\n"), 200_000))).alias("d"),
+        captures.decimal_places(null).alias("e"), captures.decimal_places(F.lit("0 decimal place")).alias("f"), captures.encoded_sha256(null).alias("g"), captures.topic_score(null, F.lit("t"), null, null, F.lit(True)).alias("h"),
+    )
+    assert [tuple(row[i]) for i in range(4)] == [(False, False, False), (False, False, False), (False, True, False), (True, False, True)]
+    assert tuple(row)[4:] == (None, 0, None, 0.0)
+
+
+def test_merged_questions_of_empty_and_repeated_rows(spark):
+    schema = "a int, file string, ordinal int, id string, prompt string"
+    base = spark.createDataFrame([(1, "f", 1, "q", "P"), (1, "f", 1, "q", "P"), (1, None, None, None, None)], schema)
+    more = spark.createDataFrame([(1, "f", 1, "q", " p "), (1, "", None, "", ""), (1, "g", 1, "q", "P"), (1, "g", 1, "q", "p"), (2, "f", 1, "q", "P")], schema)
+    assert captures.merged_questions(base, more, "a").count() == 5
+    assert captures.merged_questions(base.limit(0), more, "a").count() == 4
+    assert captures.merged_questions(base, more.limit(0), "a").count() == 3

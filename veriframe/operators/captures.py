@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.files import canonical_asset_name
-from veriframe.functions.text import clean_text, let
+from veriframe.functions.text import SPACE, clean_name, clean_text, fuzzy, let, path_form, path_similarity
 from veriframe.operators.readiness import interaction_key
 
 # Numbers as words, in order from zero, and how a text declares the length of an exam.
@@ -48,6 +48,14 @@ EDITION = r"\b(?:final|combined|current|copy|v\d+(?:\.\d+)*)\b"
 VIDEO_TOOLS, WRITTEN_TOOLS, FILE_TOOLS = ("mapi", "alvin", "altp"), ("assessment", "short-form-writing"), ("staticfile", "url")
 FEATURES = ("webcontent", "assessments", "discussions", "weblinks", "lti", "empty", "unknown", "orphans", "runtimes", "total")
 COUNTED = ("webcontent", "assessments", "discussions", "weblinks", "lti", "unknown")
+# What extracted text holds that is no text of the page, and names of precisions with their decimal places.
+NOTES = (r"(?m)^\[(?:TEACHING|ASSESSMENT|GAP) \|[^\n]*\]\s*", r"(?m)^\[PAGE \d+\]\s*$", r"(?m)^\[No text layer on this page\]\s*$", r"[\u200b\ufeff]")
+LOADING, PAGE_OF, ZOOM = r"(?i)^loading(?:\.{1,3}|…)?$", r"^/\s*\d+$", r"^\d+(?:\.\d+)?%$"
+PLACES = {
+    "millionth": 6, "hundred thousandth": 5, "ten thousandth": 4, "thousandth": 3, "hundredth": 2, "tenth": 1, "integer": 0, "whole number": 0, "ten": -1, "hundred": -2, "thousand": -3,
+    "ten thousand": -4, "hundred thousand": -5, "million": -6,
+}
+EXACT_TITLE, NEAR_TITLE, SAME_PATH, SAME_TYPE = 0.82, 0.65, 0.18, 0.10
 
 
 def _all(text: Column, patterns) -> Column:
@@ -208,3 +216,53 @@ def interaction_candidates(missing: DataFrame, targets: DataFrame, course: str)
     theirs = targets.withColumn("key", interaction_key(F.col("name"))).where("key != ''").groupBy(course, "key").agg(F.count("*").alias("candidates"), F.min("id").alias("only"))
     rows = missing.withColumn("key", interaction_key(F.col("name"))).join(theirs, [course, "key"], "left")
     return rows.select(course, "id", "key", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("candidates") == 1, F.col("only")).alias("candidate"))
+
+
+def text_quality(c: Column) -> Column:
+    """struct(readable, placeholder, viewer) of extracted text: whether lines are left that are neither notes of the
+    extraction nor signs of a viewer or of a page that was still loading."""
+    bare = F.coalesce(c, F.lit(""))
+    for note in NOTES:
+        bare = F.regexp_replace(bare, note, "")
+    lines = F.filter(F.transform(F.split(bare, r"\r?\n"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
+
+    def judged(kept: Column) -> Column:
+        viewer = F.exists(kept, lambda x: x.rlike(PAGE_OF)) & F.exists(kept, lambda x: x.rlike(ZOOM))
+        unfinished = viewer | F.exists(kept, lambda x: x.rlike(LOADING))
+        content = F.exists(kept, lambda x: ~(x.rlike(LOADING) | x.rlike(PAGE_OF) | x.rlike(ZOOM)))
+        readable = F.when(unfinished, content).otherwise(F.size(kept) > 0)
+        return F.struct(readable.alias("readable"), ((F.size(kept) > 0) & ~readable).alias("placeholder"), viewer.alias("viewer"))
+
+    return let(lines, judged)
+
+
+def decimal_places(c: Column) -> Column:
+    """Decimal places that the name of a precision asks for, negative for tens and more; null for other words."""
+    plain = F.trim(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("-"), F.lit(" ")))
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in PLACES.items() for x in pair)), plain)
+    return F.coalesce(named, F.nullif(F.regexp_extract(plain, "^([0-6]) decimal places?$", 1), F.lit("")).cast("int"))
+
+
+def merged_questions(base: DataFrame, incoming: DataFrame, assessment: str) -> DataFrame:
+    """Questions(assessment, file, ordinal, id, prompt) of both, those of ``incoming`` once each and only if ``base`` has none
+    with the same file, place, id and prompt in normal form; null and empty are the same. Of equal ones the smallest row stays."""
+    keys = [F.coalesce(F.col("file"), F.lit("")), F.coalesce(F.col("ordinal").cast("string"), F.lit("")), F.coalesce(F.col("id"), F.lit("")), F.lower(clean_text("prompt"))]
+    names = [f"_k{i}" for i in range(len(keys))]
+    columns = [assessment, "file", "ordinal", "id", "prompt"]
+    keyed = lambda df: df.select(*columns, *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    new = keyed(incoming).groupBy(assessment, *names).agg(F.min(F.struct("file", "ordinal", "id", "prompt")).alias("q"))
+    new = new.join(keyed(base).select(assessment, *names).distinct(), [assessment, *names], "left_anti")
+    return base.select(*columns).unionByName(new.select(assessment, "q.*"))
+
+
+def topic_score(title: Column, topic: Column, path: Column, topic_path: Column, compatible: Column) -> Column:
+    """How well a topic fits an item, 0 to 1: title first, then path (none if one has none) and type."""
+    a, b = clean_name(title), clean_name(topic)
+    base = F.when(a == b, EXACT_TITLE).otherwise(fuzzy(a, b) * NEAR_TITLE)
+    place = F.coalesce(path_similarity(path_form(path), path_form(topic_path)), F.lit(0.0)) * SAME_PATH
+    return F.when((a == "") | (b == ""), 0.0).otherwise(F.least(F.lit(1.0), base + place + F.when(compatible, SAME_TYPE).otherwise(0.0)))
+
+
+def encoded_sha256(c: Column) -> Column:
+    """SHA-256 of the bytes that a base64 text stands for; null if it is none."""
+    return F.sha2(F.try_to_binary(c, F.lit("base64")), 256)

@@ -119,7 +119,39 @@ def interaction_candidates(spark, sf_dir: str) -> DataFrame:
     return captures.interaction_candidates(p.where("id % 2 = 0"), p.where("id % 2 = 1"), "course")
 
 
-_FUNCTIONS = (quiz_captures, assignment_behaviors, question_dimensions, bank_coverage, work_metrics, report_claims, asset_predicates, item_minutes, course_features, interaction_candidates)
+def text_qualities(spark, sf_dir: str) -> DataFrame:
+    """Documents as extracted pages of their source, some with notes or a viewer's lines."""
+    k = F.pmod("doc_id", F.lit(7))
+    page = (
+        F.when(k == 0, "Loading...\n / 12\n50.5%").when(k == 1, F.concat(F.lit("[PAGE 3]\n"), "text")).when(k == 2, "[GAP | none]\n\u200b").when(k == 3, F.concat(F.lit("/ 3\r\n10%\r\n"), "text")).otherwise(F.col("text"))
+    )
+    rows = table(spark, sf_dir, "documents").select("source", captures.text_quality(page).alias("t"))
+    return rows.groupBy("source", "t.readable", "t.placeholder", "t.viewer").agg(F.count("*").alias("pages"))
+
+
+def merged_questions(spark, sf_dir: str) -> DataFrame:
+    """Order lines as questions of two files, some in both."""
+    n = F.col("l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("file"), F.when(n % 2 == 0, F.pmod("l_suppkey", F.lit(3))).alias("ordinal"), F.lit(None).cast("string").alias("id"), F.col("l_linestatus").alias("prompt"), "l_linenumber")
+    incoming = li.where(n > 2).withColumn("prompt", F.concat(F.lit("  "), F.lower("prompt")))
+    return captures.merged_questions(li.where(n < 4), incoming, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("questions"), F.count("ordinal").alias("placed"))
+
+
+def precisions(spark, sf_dir: str) -> DataFrame:
+    """Products by the precision that they ask for, with the hash of an encoded name."""
+    words = _one_of(F.pmod("p_partkey", F.lit(5)), ["Hundred-Thousandth", " tenth", "3 decimal places", "7 decimal places", "million"])
+    return table(spark, sf_dir, "part").select("p_partkey", captures.decimal_places(words).alias("places"), captures.encoded_sha256(F.when(F.col("p_size") > 5, F.base64(F.encode("p_name", "utf-8"))).otherwise("*")).alias("sha"))
+
+
+def topic_scores(spark, sf_dir: str) -> DataFrame:
+    """Products against the next one as topic."""
+    p = table(spark, sf_dir, "part")
+    topics = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("topic"), F.col("p_brand").alias("topic_brand"), F.col("p_type").alias("topic_type"))
+    score = captures.topic_score(F.when(F.col("p_partkey") % 9 == 0, F.upper("topic")).when(F.col("p_partkey") % 9 > 1, F.col("p_name")), F.col("topic"), F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")), F.col("p_type") == F.col("topic_type"))
+    return p.join(topics, "p_partkey").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+_FUNCTIONS = (quiz_captures, assignment_behaviors, question_dimensions, bank_coverage, work_metrics, report_claims, asset_predicates, item_minutes, course_features, interaction_candidates, text_qualities, merged_questions, precisions, topic_scores)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _LENGTHS = ", ".join("NULL" if n is None else str(n) for _, n in _DECLARED)
@@ -156,4 +188,13 @@ ORACLE_SQL = {
           round(ln(1 + g), 6) AS "unknown", round(ln(1 + o), 6) AS orphans, 0.0 AS runtimes, round(ln(1 + CASE WHEN l_suppkey % 2 = 0 THEN 5 ELSE a + b + c + d + e + g END), 6) AS total FROM c""",
     "interaction_candidates": """WITH p AS (SELECT p_brand AS course, p_partkey AS id, lower(p_type) AS key FROM part), t AS (SELECT course, key, count(*) AS n, min(id) AS o FROM p WHERE id % 2 = 1 GROUP BY ALL)
         SELECT course, id, key, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN o END AS candidate FROM p LEFT JOIN t USING (course, key) WHERE id % 2 = 0""",
+    "text_qualities": r"""WITH d AS (SELECT source, doc_id % 7 AS k, coalesce(regexp_matches(text, '\S'), false) AS words FROM documents)
+        SELECT source, k NOT IN (0, 2) AND words AS readable, k = 0 OR (k = 3 AND NOT words) AS placeholder, k = 0 OR k = 3 AS viewer, count(*) AS pages FROM d GROUP BY ALL""",
+    "merged_questions": """WITH q AS (SELECT l_orderkey, l_linenumber AS n, (l_returnflag, lower(l_linestatus), CASE WHEN l_linenumber % 2 = 0 THEN (l_suppkey % 3)::VARCHAR ELSE '' END) AS k, l_linenumber % 2 = 0 AS placed FROM lineitem),
+        i AS (SELECT DISTINCT l_orderkey, k, placed FROM q WHERE n > 2 AND NOT EXISTS (SELECT 1 FROM q b WHERE b.n < 4 AND b.l_orderkey = q.l_orderkey AND b.k = q.k)), u AS (SELECT l_orderkey, placed FROM q WHERE n < 4 UNION ALL SELECT l_orderkey, placed FROM i)
+        SELECT l_orderkey, count(*) AS questions, count(*) FILTER (placed) AS placed FROM u GROUP BY l_orderkey""",
+    "precisions": """SELECT p_partkey, ([5, 1, 3, NULL, -6])[p_partkey % 5 + 1]::INT AS places, CASE WHEN p_size > 5 THEN sha256(p_name) END AS sha FROM part""",
+    "topic_scores": """WITH p AS (SELECT a.p_partkey, a.p_partkey % 9 AS k, regexp_replace(lower(a.p_name), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(b.p_name), '[^a-z0-9]', '', 'g') AS y, a.p_type = b.p_type AS t FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+        s AS (SELECT *, CASE WHEN k = 0 OR x = y THEN 0.82 WHEN contains(x, y) OR contains(y, x) THEN 0.9 * 0.65 ELSE (1 - levenshtein(x, y) / greatest(length(x), length(y))) * 0.65 END AS base FROM p)
+        SELECT p_partkey, CASE WHEN k = 1 THEN 0 ELSE round(least(1, base + CASE WHEN p_partkey % 2 = 0 THEN 0.18 ELSE 0 END + CASE WHEN t THEN 0.1 ELSE 0 END), 6) END::DOUBLE AS score FROM s""",
 }
