@@ -10,6 +10,7 @@ from .packing import op3_best_fit_packing
 from .pieces import op10_piece_encoding
 from .quality import op5_quality_classifier
 from .quotes import OP2_SQL, op2_chat_formatting
+from .sharding import op13_sharding
 from .simhash import op8_simhash_near_dedup
 from .substrings import OP1_SQL, op1_substring_dedup
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_piece_encoding": op10_piece_encoding,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op9_exact_top_k": OP9_SQL}
