@@ -74,7 +74,7 @@ def set_overlap(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
-    return set_overlap(token_set(a), token_set(b))
+    return let(F.struct(token_set(a).alias("p"), token_set(b).alias("q")), lambda x: set_overlap(x["p"], x["q"]))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

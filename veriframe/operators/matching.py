@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,15 +64,17 @@ def unambiguous(edges: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the session's checkpoint folder; one is set only where there is none, and only for
-    a session of one process, whose tasks share the driver's disk."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+    """``df`` as a table written to the session's checkpoint folder and read back: computed once, its lineage cut. A folder of
+    the machine is taken only where none is named, and only for a session of one process, whose tasks share the driver's disk."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or "file:/tmp/checkpoints")
-    return df.checkpoint()
+        folder = "file:/tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/veriframe/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def greedy(edges: DataFrame, order: Sequence[Column], source: str = "source_id", target: str = "target_id") -> DataFrame:
