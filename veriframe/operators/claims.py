@@ -104,12 +104,12 @@ def scoped(claims: DataFrame) -> DataFrame:
     named = (kind == "REPAIR_INSTRUCTION") & (F.col("_event") == "UNRESOLVED_SOURCE_ASSET") & one
     moved = (kind == "UNRESOLVED_SOURCE_ASSET") & (F.col("_event") == "CONTENT_MARKUP_ADAPTATION")
     apart = (kind == "UNRESOLVED_SOURCE_ASSET") & words.rlike(SEPARATE[0]) & words.rlike(SEPARATE[1]) & ~words.rlike(EXPLICIT_LOSS)
-    outcome = (
-        F.when(open_, F.struct(F.lit("SOURCE_GRADING_UNSPECIFIED"), F.lit("INFO"))).when(named, F.struct(F.lit("UNRESOLVED_SOURCE_ASSET"), F.lit("CRITICAL")))
-        .when(moved, F.struct(F.lit("CONTENT_MARKUP_ADAPTATION"), F.lit("INFO"))).when(apart, F.struct(F.lit("SOURCE_ASSET_SCOPE_REVIEW"), F.lit("REVIEW"))).otherwise(F.struct("type", "severity"))
+    outcome = F.coalesce(
+        _claim(open_, "SOURCE_GRADING_UNSPECIFIED", "INFO"), _claim(named, "UNRESOLVED_SOURCE_ASSET", "CRITICAL"), _claim(moved, "CONTENT_MARKUP_ADAPTATION", "INFO"),
+        _claim(apart, "SOURCE_ASSET_SCOPE_REVIEW", "REVIEW"), F.struct("type", "severity"),
     )
     rows = rows.withColumns({"_outcome": outcome, "_subject": F.when(one, F.get("_files", F.lit(0))).otherwise(F.col("subject"))})
-    new_kind, severity = F.col("_outcome")["col1"], F.col("_outcome")["col2"]
+    new_kind, severity = F.col("_outcome.type"), F.col("_outcome.severity")
     changed = (new_kind != kind) | (F.col("_subject") != F.col("subject"))
     rest = [c for c in claims.columns if c not in ("type", "severity", "subject")]
     return rows.select(
