@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions import text
+from veriframe.operators import joins
+from veriframe.operators.stored import settled
 
 CUTOFF = 0.78
 _RANK = ("exact_title", "compatible", "score_9", "path_9")
@@ -63,35 +65,31 @@ def unambiguous(edges: DataFrame) -> DataFrame:
     return edges.join(touched.select("source_id").distinct(), "source_id", "left_anti").join(touched.select("target_id").distinct(), "target_id", "left_anti")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the session's checkpoint folder and read back: computed once, its lineage cut. A folder of
-    the machine is taken only where none is named, and only for a session of one process, whose tasks share the driver's disk."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file:/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/veriframe/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def greedy(edges: DataFrame, order: Sequence[Column], source: str = "source_id", target: str = "target_id") -> DataFrame:
-    """The greedy one-to-one assignment in ``order``, a total order of the edges: in rounds, edges that are the best of
-    both their rows are taken and their rows leave. Each round ends the lineage. A chain of edges of falling rank
-    takes a round for every second edge; rounds go on until no edge is left, for the best edge of all is always the
-    best of both its rows."""
-    left, plan = settled(edges), None
-    while not left.isEmpty():
-        best = left.withColumn("s", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-        best = best.withColumn("t", F.row_number().over(Window.partitionBy(target).orderBy(*order))).where("s = 1 and t = 1").drop("s", "t")
-        best = settled(best)
-        if best.isEmpty():  # edges given twice that no rank tells apart
-            raise RuntimeError("edges remain, but none is the best of both its rows")
-        plan = best if plan is None else plan.unionByName(best)
-        left = settled(left.join(best.select(source), source, "left_anti").join(best.select(target), target, "left_anti"))
-    return left if plan is None else plan
+    """The greedy one-to-one assignment in ``order``, a total order of the edges: an edge is taken if no edge before it has taken
+    one of its rows. Edges that share no row, not even over others, don't touch each other, so each component is decided in one
+    pass over its edges in order, holding the rows that are taken. Components take rounds that grow with the logarithm of the longest chain."""
+    edges = settled(edges)
+    node = lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
+    parts = joins.components(edges.select(node("t", target).alias("u"), node("s", source).alias("v")))
+    rows = edges.withColumn("_node", node("s", source)).join(parts.withColumnRenamed("node", "_node").withColumnRenamed("component", "_part"), "_node").drop("_node")
+    at = [rows.columns.index(c) for c in ("_part", source, target)]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, used = None, (set(), set())
+        for batch in batches:
+            keep = []
+            for p, s, t in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if p != part:
+                    part, used = p, (set(), set())
+                good = s not in used[0] and t not in used[1]
+                if good:
+                    used[0].add(s)
+                    used[1].add(t)
+                keep.append(good)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("_part").sortWithinPartitions("_part", *order).mapInArrow(take, rows.schema).drop("_part")
 
 
 def match_plan(edges: DataFrame) -> DataFrame:

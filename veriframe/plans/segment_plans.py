@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.operators import history, segments, similarity
-from veriframe.operators.matching import settled
+from veriframe.operators.stored import settled
 from veriframe.operators.scope import item_id
 from veriframe.sources.tables import table
 from veriframe.streaming import ledger, lifecycle

@@ -262,6 +262,17 @@ ORACLE_SQL = {
         s AS (SELECT floor(s_acctbal / 10)::BIGINT AS k, count(*) AS m, min(s_suppkey) AS t FROM supplier GROUP BY ALL)
         SELECT c_custkey AS source_id, CASE WHEN m IS NULL THEN 'NO_TARGET' WHEN n > 1 OR m > 1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS status, CASE WHEN n = 1 AND m = 1 THEN t END AS target_id, coalesce(m, 0) AS candidates
         FROM c LEFT JOIN s USING (k)""",
+    "global_match_plan": f"""WITH RECURSIVE p AS (SELECT p_partkey, p_retailprice < 950 AS cheap, replace(p_name, ' ', '') AS n, p_brand || '/' || p_size AS course, lower(p_type) AS t FROM part),
+        e AS (SELECT course, a.p_partkey AS source_id, b.p_partkey AS target_id, a.n = b.n AS exact_title, a.t = b.t AS compatible, {_EDIT} AS title, CASE WHEN a.t = b.t THEN 1.0::DOUBLE ELSE 0.35::DOUBLE * {_EDIT.replace('.n', '.t')} END AS path FROM p a JOIN p b USING (course) WHERE a.cheap AND NOT b.cheap),
+        s AS (SELECT *, title * 0.76::DOUBLE + path * 0.14::DOUBLE + CASE WHEN compatible THEN 1 ELSE 0.15::DOUBLE END * 0.1::DOUBLE AS c FROM e),
+        f AS (SELECT course, source_id, target_id, exact_title, compatible, round(path, 9) AS path_9, CASE WHEN title < 0.5 THEN 0 WHEN title >= 0.98::DOUBLE AND c < 0.82::DOUBLE THEN 0.82::DOUBLE ELSE c END AS score FROM s),
+        g AS (SELECT * EXCLUDE (score), round(score, 9) AS score_9, count(*) OVER (PARTITION BY source_id, exact_title, compatible, round(score, 9), path_9) AS m, count(*) OVER (PARTITION BY target_id, exact_title, compatible, round(score, 9), path_9) AS n FROM f WHERE score >= 0.78),
+        open AS (SELECT source_id, target_id FROM g WHERE m > 1 OR n > 1),
+        h AS (SELECT *, row_number() OVER (PARTITION BY course ORDER BY exact_title DESC, compatible DESC, score_9 DESC, path_9 DESC, source_id, target_id) AS i FROM g WHERE source_id NOT IN (SELECT source_id FROM open) AND target_id NOT IN (SELECT target_id FROM open)),
+        steps AS (SELECT course, 0::BIGINT AS i, []::BIGINT[] AS ss, []::BIGINT[] AS ts, false AS took FROM (SELECT DISTINCT course FROM h)
+          UNION ALL SELECT x.course, h.i, CASE WHEN list_contains(ss, source_id) OR list_contains(ts, target_id) THEN ss ELSE list_append(ss, source_id) END, CASE WHEN list_contains(ss, source_id) OR list_contains(ts, target_id) THEN ts ELSE list_append(ts, target_id) END,
+            NOT (list_contains(ss, source_id) OR list_contains(ts, target_id)) FROM steps x JOIN h ON h.course = x.course AND h.i = x.i + 1)
+        SELECT source_id, target_id, exact_title, compatible, score_9, path_9, CASE WHEN exact_title THEN 'EXACT_TITLE' WHEN compatible THEN 'TYPE_COMPATIBLE' ELSE 'FUZZY' END AS method FROM steps JOIN h USING (course, i) WHERE took""",
     "match_edges": f"""WITH p AS (SELECT p_partkey, p_retailprice < 950 AS cheap, replace(p_name, ' ', '') AS n, p_brand, p_size, lower(p_type) AS t FROM part),
         e AS (SELECT a.p_partkey AS source_id, b.p_partkey AS target_id, a.n = b.n AS exact_title, a.t = b.t AS compatible, {_EDIT} AS title FROM p a JOIN p b USING (p_brand, p_size) WHERE a.cheap AND NOT b.cheap),
         s AS (SELECT *, title * 0.9::DOUBLE + CASE WHEN compatible THEN 1 ELSE 0.15::DOUBLE END * 0.1::DOUBLE AS c FROM e),
