@@ -35,9 +35,9 @@ def stream_once_each(spark, sf_dir: str) -> DataFrame:
 
 
 def stream_windows(spark, sf_dir: str) -> DataFrame:
-    """Hourly counts that the watermark has closed."""
+    """Hourly counts that the watermark has closed; hours that end in its last ten minutes or later stay open."""
     events = ledger.read_stream(spark, f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return ledger.run_available(ledger.windowed_counts(events, "ts", "event_type")).drop("batch")
+    return ledger.run_available(ledger.windowed_counts(events, "ts", "event_type")).select("start", "event_type", "events")
 
 
 _FEATURES = ["size", "breaks", "digits", "marks"]
@@ -130,6 +130,7 @@ ORACLE_SQL = {
     "exact_percent": """SELECT round(l_discount * 100)::BIGINT AS discount, round(l_tax * 100)::BIGINT AS tax, count(*) AS n,
         ((100 - round(l_discount * 100)::BIGINT) * (100 + round(l_tax * 100)::BIGINT) / 10000.0)::DECIMAL(10, 4)::VARCHAR AS factor FROM lineitem GROUP BY l_discount, l_tax""",
     "stream_latest": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, count(*) AS events FROM events GROUP BY user_id",
+    "stream_windows": """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
     "stream_once_each": "SELECT event_type, count(*) AS events FROM (SELECT DISTINCT date_trunc('hour', ts), user_id, event_type FROM events) GROUP BY event_type",
     "package_entries": """WITH p AS (SELECT floor(p_partkey / 20)::BIGINT AS g, p_partkey AS k, repeat(p_name || chr(10), p_size::BIGINT) AS t FROM part)
         SELECT 'p' || g AS package, 'f/' || k || '.txt' AS name, strlen(t)::BIGINT AS size, sha256(t) AS sha256, NULL::VARCHAR AS problem FROM p WHERE g % 10 <> 0
