@@ -44,7 +44,7 @@ def assignment_behaviors(spark, sf_dir: str) -> DataFrame:
 
 def question_dimensions(spark, sf_dir: str) -> DataFrame:
     """Turns of conversations as questions against the first turn of theirs, by whole texts."""
-    c = table(spark, sf_dir, "conversations").where("text is not null and turn is not null")
+    c = table(spark, sf_dir, "conversations").na.fill({"text": "", "turn": 0})
     first = c.groupBy("conv_id").agg(F.min_by(F.struct("turn", "role", "text"), F.struct("turn", "role", "text")).alias("f"))
 
     def question(turn: Column, role: Column, body: Column) -> Column:
@@ -163,7 +163,7 @@ ORACLE_SQL = {
         SELECT l_orderkey, count(*) AS quizzes, sum(n)::BIGINT AS definitions, count(*) FILTER (k % 9 < 2 OR n = 0 OR coalesce(d <> n, false) OR k % 7 = 0) AS gaps FROM q GROUP BY l_orderkey""",
     "assignment_behaviors": """WITH a AS (SELECT o_orderkey % 7 AS t, CASE WHEN o_orderkey % 3 = 0 THEN 10.0 END AS points FROM orders)
         SELECT t < 5 OR points IS NOT NULL AS observed, t IN (0, 4) AS file_upload, t IN (1, 4) AS text_submission, t = 2 AS on_paper, t = 3 AS in_person, points, count(*) AS items FROM a GROUP BY ALL""",
-    "question_dimensions": """WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL AND turn IS NOT NULL), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1),
+    "question_dimensions": """WITH c AS (SELECT conv_id, coalesce(turn, 0) AS turn, role, coalesce(text, '') AS text FROM conversations), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1),
         d AS (SELECT CASE WHEN a.text = '' OR b.text = '' OR a.turn % 5 = 4 OR b.turn % 5 = 4 THEN 'U' WHEN a.text = b.text THEN 'V' ELSE 'D' END AS p, CASE WHEN a.role NOT IN ('user', 'assistant') OR b.role NOT IN ('user', 'assistant') THEN 'U' WHEN a.role = b.role THEN 'V' ELSE 'D' END AS t,
           CASE WHEN a.text = b.text THEN 'V' ELSE 'D' END AS o, CASE WHEN a.turn % 2 <> 0 OR b.turn % 2 <> 0 THEN 'U' WHEN a.role = b.role THEN 'V' ELSE 'D' END AS n, CASE WHEN a.turn % 3 <> 0 OR b.turn % 3 <> 0 THEN 'U' WHEN length(a.text) = length(b.text) THEN 'V' ELSE 'D' END AS g FROM f a JOIN c b USING (conv_id))
         SELECT CASE WHEN contains(p || t || o || n || g, 'D') THEN 'DIFFERENT' ELSE 'UNVERIFIED' END AS status, p || t || o || n || g AS states, count(*) AS questions FROM d GROUP BY ALL""",

@@ -106,8 +106,7 @@ def text_budget(spark, sf_dir: str) -> DataFrame:
 
 
 def chunk_reassembly(spark, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("role != 'system'")
-    return history.chunk_contiguity(c, "conv_id", "turn")
+    return history.chunk_contiguity(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 def multiset_contract(spark, sf_dir: str) -> DataFrame:
@@ -210,7 +209,7 @@ ORACLE_SQL = {
     "text_budget": """WITH b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n_chars <= 60000 AS kept FROM documents)
         SELECT source, count(*) FILTER (kept) AS kept, count(*) AS documents, sum(n_chars) FILTER (kept)::BIGINT AS chars FROM b GROUP BY source""",
     "chunk_reassembly": """SELECT conv_id, count(*) AS chunks, CASE WHEN count(DISTINCT turn) < count(*) THEN 'DUPLICATE_INDEX' WHEN min(turn) <> 0 OR max(turn) <> count(*) - 1 THEN 'NOT_CONTIGUOUS' ELSE 'COMPLETE' END AS state
-        FROM conversations WHERE role <> 'system' GROUP BY conv_id""",
+        FROM conversations GROUP BY conv_id""",
     "multiset_contract": """WITH e AS (SELECT l_partkey, count(*) AS expected FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL), o AS (SELECT l_partkey, count(*) AS observed FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
         j AS (SELECT l_partkey, coalesce(expected, 0) AS expected, coalesce(observed, 0) AS observed FROM e FULL JOIN o USING (l_partkey))
         SELECT *, CASE WHEN observed = 0 THEN 'MISSING' WHEN expected = 0 THEN 'UNEXPECTED' ELSE 'COUNT' END AS kind FROM j WHERE expected <> observed""",

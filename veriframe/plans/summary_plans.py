@@ -127,9 +127,9 @@ def work_queue_summary(spark, sf_dir: str) -> DataFrame:
 
 
 def catalog_codes(spark, sf_dir: str) -> DataFrame:
-    """Words of benchmark texts that are the first word of a document."""
+    """Words of benchmark texts that stand in a document."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    keys = table(spark, sf_dir, "documents").select(F.regexp_extract("text", r"[a-zA-Z]{4,}", 0).alias("code")).where("code != ''")
+    keys = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[a-zA-Z]{4,}"), 0)).alias("code"))
     return work_queue.known_codes(b, keys, "text", r"[a-zA-Z]{4,}")
 
 
@@ -256,8 +256,8 @@ ORACLE_SQL = {
         SELECT source, items, lost, open, first_lost, CASE WHEN lost * 10 > items THEN 'REINGEST' WHEN lost > 0 OR open * 2 > items THEN 'REVIEW' ELSE 'KEEP' END AS policy FROM g LEFT JOIN f USING (source)""",
     "work_queue_plan": f"{_QUEUE} SELECT * FROM q",
     "work_queue_summary": f"{_QUEUE} SELECT catalog_status, action, count(*) AS slots FROM q GROUP BY ALL",
-    "catalog_codes": """WITH k AS (SELECT DISTINCT regexp_extract(text, '[a-zA-Z]{4,}') AS code FROM documents), b AS (SELECT item_id AS id, regexp_extract_all(text, '[a-zA-Z]{4,}') AS w FROM benchmark),
-        e AS (SELECT id, unnest(w) AS code, generate_subscripts(w, 1) - 1 AS place FROM b) SELECT id, code, min(place)::BIGINT AS place FROM e JOIN k USING (code) WHERE code <> '' GROUP BY id, code""",
+    "catalog_codes": """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z]{4,}')) AS code FROM documents), b AS (SELECT item_id AS id, regexp_extract_all(text, '[a-zA-Z]{4,}') AS w FROM benchmark),
+        e AS (SELECT id, unnest(w) AS code, generate_subscripts(w, 1) - 1 AS place FROM b) SELECT id, code, min(place)::BIGINT AS place FROM e JOIN k USING (code) GROUP BY id, code""",
     "unique_binding": """WITH c AS (SELECT c_custkey, floor(c_acctbal / 10)::BIGINT AS k, count(*) OVER (PARTITION BY floor(c_acctbal / 10)::BIGINT) AS n FROM customer),
         s AS (SELECT floor(s_acctbal / 10)::BIGINT AS k, count(*) AS m, min(s_suppkey) AS t FROM supplier GROUP BY ALL)
         SELECT c_custkey AS source_id, CASE WHEN m IS NULL THEN 'NO_TARGET' WHEN n > 1 OR m > 1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS status, CASE WHEN n = 1 AND m = 1 THEN t END AS target_id, coalesce(m, 0) AS candidates
