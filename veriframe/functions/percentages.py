@@ -67,6 +67,8 @@ def _number(value: Fraction) -> str:
 
 
 def _check(expression: str | None, stated: str | None, percent: bool, places, options) -> tuple:
+    if expression is None:
+        return None, None, None, "UNKNOWN"
     value = evaluate(expression)
     if value is None:
         return None, None, None, "UNSUPPORTED"
@@ -88,16 +90,17 @@ def _check(expression: str | None, stated: str | None, percent: bool, places, op
 
 def checked_value(read: Column, options: Column) -> Column:
     """struct(value, truth, states, problem): the exact answer of a read prompt as text, or whether what it states is true; of each option 1
-    if it has that value, 0 if another, -1 if it is no number of the kind asked for."""
+    if it has that value, 0 if another, -1 if it is no number of the kind asked for. The problem of a prompt that was not read is UNKNOWN."""
 
     @F.pandas_udf(_CHECKED)
-    def run(expressions, stated, percents, places, choices):
+    def run(forms, choices):
         import pandas as pd
 
-        rows = [_check(*x) for x in zip(expressions, stated, percents, places, choices, strict=True)]
+        columns = (forms[c] for c in ("expression", "stated", "percent", "places"))
+        rows = [_check(e, s, e is not None and bool(p), n, o) for e, s, p, n, o in zip(*columns, choices, strict=True)]
         return pd.DataFrame(rows, columns=_CHECKED.names).astype({"truth": "boolean"})
 
-    return run(read["expression"], read["stated"], F.coalesce(read["percent"], F.lit(False)), read["places"], options)
+    return run(read, options)
 
 
 def answer_check(prompt: Column, kind: Column, options: Column, key: Column) -> Column:
@@ -105,22 +108,21 @@ def answer_check(prompt: Column, kind: Column, options: Column, key: Column) ->
     or null. The outcome is CALCULATED, or says why it isn't; ``comparison`` is AGREES, CONFLICT or NO_KEY where an option was selected."""
     read = F.when((F.length(F.coalesce(prompt, F.lit(""))) <= MOST_PROMPT) & (F.size(F.coalesce(options, F.array().cast("array<string>"))) <= MOST_OPTIONS) & ~F.coalesce(kind, F.lit("")).rlike(UNDECIDED), read_prompt(prompt))
     choices = F.coalesce(options, F.array().cast("array<string>"))
-    found = F.struct(read.alias("read"), checked_value(read, choices).alias("v"))
+    found = checked_value(read, choices)
     is_truth = F.coalesce(kind, F.lit("")).rlike(TRUE_FALSE)
     labels = F.transform(choices, lambda o: F.lower(F.trim(o)))
     both = (F.size(labels) == 2) & F.array_contains(labels, "true") & F.array_contains(labels, "false")
 
-    def outcome(f: Column) -> Column:
-        v = f["v"]
+    def outcome(v: Column) -> Column:
         hits = F.size(F.filter(v["states"], lambda s: s == 1))
         state = (
-            F.when(f["read"].isNull(), "UNKNOWN").when(v["problem"].isNotNull(), v["problem"]).when(v["truth"].isNotNull() != is_truth, "OTHER_TYPE").when(is_truth & ~both, "LABELS")
+            F.when(v["problem"].isNotNull(), v["problem"]).when(v["truth"].isNotNull() != is_truth, "OTHER_TYPE").when(is_truth & ~both, "LABELS")
             .when(is_truth | (F.size(choices) == 0), "CALCULATED").when(F.array_contains(v["states"], -1), "CHOICES").when(hits == 0, "NO_CHOICE").when(hits > 1, "SEVERAL_CHOICES").otherwise("CALCULATED")
         )
         place = F.when(is_truth, F.array_position(labels, v["truth"].cast("string"))).otherwise(F.array_position(v["states"], 1))
         selected = F.when((state == "CALCULATED") & (place > 0), (place - 1).cast("int"))
         value = F.when(is_truth & v["truth"].isNotNull(), v["truth"].cast("string")).otherwise(v["value"])
         comparison = F.when(selected.isNull(), F.lit(None).cast("string")).when(key.isNull(), "NO_KEY").when(key == selected, "AGREES").otherwise("CONFLICT")
-        return F.struct(state.alias("outcome"), F.when(f["read"].isNotNull(), value).alias("value"), selected.alias("selected"), comparison.alias("comparison"))
+        return F.struct(state.alias("outcome"), value.alias("value"), selected.alias("selected"), comparison.alias("comparison"))
 
     return let(found, outcome)
