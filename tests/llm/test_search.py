@@ -120,6 +120,40 @@ def test_few_rows_are_ranked_where_vectors_are_clustered():
     assert sum(a for a, _ in ranked) < 0.3 * sum(b for _, b in ranked)
 
 
+def test_queries_are_ranked_in_groups_and_as_if_alone(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(2000, 24)), np.repeat(rng.normal(size=(20, 24)), 30, 0) + rng.normal(0, 0.1, (600, 24))])
+    ids, at, calls = np.arange(len(x)) * 3, rng.permutation(len(x))[:300], []
+    plain = ann.HashTables.chances
+    monkeypatch.setattr(ann.HashTables, "chances", lambda *a: (calls.append(1), plain(*a))[1])
+    search, bounds = ann.hash_index(5)(ids, x), np.where(np.arange(300) % 3, -np.inf, 0.3)
+    together = Counter(zip(*(c.tolist() for c in search(ids[at], x[at], bounds)), strict=True))
+    assert len(calls) <= 2 * -(-300 // 64)  # not twice for each query
+    alone = Counter()
+    for i in range(300):
+        q, v, s = search(ids[at[i : i + 1]], x[at[i : i + 1]], bounds[i : i + 1])
+        alone.update(zip((q + i).tolist(), v.tolist(), s.tolist(), strict=True))
+    assert together == alone and all(v != ids[at[q]] for q, v, _ in together)
+    assert all(bounds[q] <= s for q, _, s in together) and max(Counter(q for q, *_ in together).values()) == 5
+
+
+def test_a_query_far_from_every_bucket_and_a_near_bound():
+    rng = np.random.default_rng(8)
+    x = np.ones((50, 16)) + rng.normal(0, 0.001, (50, 16))
+    queries = rng.normal(size=(20, 16))
+    with np.errstate(invalid="raise"):  # no bucket's chance is lost to underflow
+        q, _, _ = ann.hash_index(5)(np.arange(50), x)(np.arange(100, 120), queries, np.full(20, 1 - 1e-13))
+    assert not len(q)
+
+
+def test_multiples_of_a_vector_are_ties_by_id():
+    x = np.arange(1, 301)[:, None] * np.array([3.0, 4.0, 0.0])  # other vectors, the same cosine
+    ids = np.arange(300)[::-1].copy()
+    order = np.argsort(ids)
+    q, v, s = ann.hash_index(5)(ids[order], x[order])(np.array([0, 2]), x[order][[0, 2]], np.full(2, -np.inf))
+    assert v.tolist() == [1, 2, 3, 4, 5, 0, 1, 3, 4, 5] and set(s.tolist()) == {1.0} and q.tolist() == [0] * 5 + [1] * 5
+
+
 def brute_cosine(vectors, every, k):
     rows = usable(vectors, False)
     want = {}

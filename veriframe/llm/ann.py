@@ -6,7 +6,8 @@ and of a vector at distance d is normal with deviation d, which gives every buck
 neighbour. A query visits buckets in order of that chance, all tables merged, until it would have met a
 neighbour at the distance of its k-th best so far with a probability of ``SUCCESS``; the rows of the visited
 buckets are candidates, ranked by their exact cosine. Where the query comes without a k-th best from another
-shard, the first buckets that name a few rows give one.
+shard, the first buckets that name a few rows give one. Queries of one bucket choose and rank together: one product of a
+group and the rows that any of it names says which of a query's own named rows are near enough to be scored exactly.
 
 So near copies and clustered vectors, whose neighbours are close, are found in few buckets, while vectors as
 unrelated as random ones, whose k-th best is hardly nearer than any other, need most of a shard for the same recall.
@@ -15,6 +16,8 @@ No bucket is cut. More edge cases: ``shards``; zero vectors take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,9 @@ SUCCESS = 0.998
 SEED = 20
 SLACK = 1e-9  # more than a cosine is off
 _FIRST = 4  # times k: rows that the first buckets must name
+GROUP = 64  # queries whose rows are ranked together
+FIRST_BUCKETS = 256  # of the likeliest buckets, how many are put in order at first
+SCORED = 65_536  # pairs whose exact score is taken at a time
 
 
 def _norms(v: np.ndarray) -> np.ndarray:
@@ -61,36 +67,66 @@ class HashTables:
         self.table = np.repeat(np.arange(tables), [len(s) for s in sizes])
         self.sizes = np.concatenate(sizes)
 
-    def chances(self, unit: np.ndarray, distance: float) -> np.ndarray:
-        """For each bucket of any table the chance that it holds a neighbour at ``distance`` which its table holds."""
-        out = []
+    def together(self, unit: np.ndarray) -> Iterator[np.ndarray]:
+        """Groups of queries; those in one bucket of the first table stand next to each other."""
+        a, b = self.functions[0]
+        order = np.lexsort(np.floor((unit @ a + b) / self.width).T)
+        return (order[i : i + GROUP] for i in range(0, len(order), GROUP))
+
+    def chances(self, unit: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """(query, bucket): the chance that the bucket holds a neighbour at the query's ``distance`` which its table holds."""
+        out, reach = [], np.maximum(distance, 1e-6)[:, None]
         for (a, b), keys in zip(self.functions, self.keys, strict=True):
             at = unit @ a + b
+            least = 10.0 ** (-300 // len(keys))  # a bucket's chance stays above zero
             chance = 1.0
             for f, (cells, of_bucket) in enumerate(keys):
-                edges = (np.stack([cells, cells + 1]) * self.width - at[f]) / max(distance, 1e-6)
-                low, high = _normal_share(np.clip(edges, -9, 9))
-                chance = chance * (high - low + 1e-300)[of_bucket]
-            out.append(chance / chance.sum())
-        return np.concatenate(out)
-
-    def order(self, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets by falling chance, and the probability to have met the neighbour after each of them."""
-        order = np.argsort(-chances, kind="stable")
-        missed = np.zeros(len(order))
-        for t in range(int(self.table[-1]) + 1):
-            met = np.cumsum(np.where(self.table[order] == t, chances[order], 0.0))
-            missed += np.log1p(-np.minimum(met, 1 - 1e-12))
-        return order, 1 - np.exp(missed)
-
-    def named(self, buckets: np.ndarray) -> np.ndarray:
-        """Rows that lie in one of ``buckets``."""
-        visited = np.zeros(len(self.sizes), bool)
-        visited[buckets] = True
-        rows = visited[self.bucket[0]]
+                low, high = (_normal_share(np.clip((edge * self.width - at[:, f, None]) / reach, -9, 9)) for edge in (cells, cells + 1))
+                chance = chance * np.take(high - low + least, of_bucket, axis=1)
+            out.append(chance / chance.sum(1, keepdims=True))
+        return np.concatenate(out, axis=1)
+
+    def likeliest(self, chances: np.ndarray, n: int) -> np.ndarray:
+        """(query, place): each query's ``n`` buckets of the largest chance, by falling chance."""
+        n = min(n, chances.shape[1])
+        top = np.argpartition(chances, -n, axis=1)[:, -n:]
+        return np.take_along_axis(top, np.argsort(-np.take_along_axis(chances, top, 1), axis=1), 1)
+
+    def first(self, chances: np.ndarray, rows: int) -> np.ndarray:
+        """(query, bucket): whether it is one of the likeliest, which name so many ``rows`` in all."""
+        top = self.likeliest(chances, rows)
+        before = np.cumsum(self.sizes[top], 1) - self.sizes[top]
+        return self._marked(chances, top, (before < rows).sum(1))
+
+    def visited(self, chances: np.ndarray, success: float) -> np.ndarray:
+        """(query, bucket): whether it is one of the likeliest, by which the neighbour is met with a probability of ``success``.
+        Buckets are put in order only as far as they are needed."""
+        out, going, some = np.zeros(chances.shape, bool), np.arange(len(chances)), FIRST_BUCKETS
+        while len(going):
+            own = chances[going]
+            top = self.likeliest(own, some)
+            chance, of, missed = np.take_along_axis(own, top, 1), self.table[top], np.ones(top.shape)
+            for t in range(int(self.table[-1]) + 1):
+                missed *= 1 - np.minimum(np.cumsum(np.where(of == t, chance, 0.0), 1), 1 - 1e-12)
+            enough = (1 - missed < success).sum(1) + 1
+            done = (enough <= top.shape[1]) | (top.shape[1] == chances.shape[1])
+            out[going[done]] = self._marked(own[done], top[done], enough[done])
+            going, some = going[~done], some * 4
+        return out
+
+    @staticmethod
+    def _marked(chances: np.ndarray, top: np.ndarray, enough: np.ndarray) -> np.ndarray:
+        out = np.zeros(chances.shape, bool)
+        i, j = np.nonzero(np.arange(top.shape[1]) < enough[:, None])
+        out[i, top[i, j]] = True
+        return out
+
+    def named(self, visited: np.ndarray) -> np.ndarray:
+        """(query, row): whether the row lies in a bucket that the query visits."""
+        rows = np.take(visited, self.bucket[0], axis=1)
         for bucket in self.bucket[1:]:
-            rows = rows | visited[bucket]
-        return np.flatnonzero(rows)
+            rows |= np.take(visited, bucket, axis=1)
+        return rows
 
 
 def hash_index(k: int, success: float = SUCCESS, ranked: list | None = None):
@@ -101,31 +137,39 @@ def hash_index(k: int, success: float = SUCCESS, ranked: list | None = None):
         unit = vectors / norms[:, None]
         index = HashTables(unit)
 
+        def best(qids, queries, qnorms, named, bounds):
+            """(query, row, score) of the k best of the rows ``named`` for each query, best first; none below its bound."""
+            rows = np.flatnonzero(named.any(0))
+            near = (queries / qnorms[:, None]) @ unit[rows].T  # within SLACK of the scores
+            near[~named[:, rows] | (qids[:, None] == ids[rows])] = -np.inf
+            least = bounds if len(rows) < k else np.maximum(bounds, np.partition(near, -k, axis=1)[:, -k])
+            i, j = np.nonzero((near >= least[:, None] - SLACK) & (near > -np.inf))
+            j = rows[j]
+            parts = [slice(p, p + SCORED) for p in range(0, len(i), SCORED)]
+            s = np.concatenate([np.zeros(0), *((vectors[j[p]] * queries[i[p]]).sum(1) / (norms[j[p]] * qnorms[i[p]]) for p in parts)])
+            order = np.lexsort((ids[j], -s, i))
+            i, j, s = i[order], j[order], s[order]
+            good = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (s >= bounds[i])
+            return i[good], j[good], s[good]
+
         def search(qids, queries, bounds):
             qnorms = _norms(queries)
             found = []
-            for i, query in enumerate(queries / qnorms[:, None]):
-
-                def exact(rows, i=i):
-                    rows = rows[ids[rows] != qids[i]]
-                    s = (vectors[rows] * queries[i]).sum(1) / (norms[rows] * qnorms[i])
-                    best = np.lexsort((ids[rows], -s))[:k]
-                    return rows[best], s[best]
-
-                kth, first = bounds[i], np.zeros(0, int)
-                if kth == -np.inf:
-                    order, _ = index.order(index.chances(query, 1.0))
-                    enough = np.searchsorted(np.cumsum(index.sizes[order]), _FIRST * (k + 1) * TABLES) + 1
-                    first = index.named(order[:enough])
-                    _, s = exact(first)
-                    kth = s[-1] if len(s) == k else -1.0
-                order, met = index.order(index.chances(query, np.sqrt(max(0.0, 2 - 2 * kth))))
-                rows = np.union1d(first, index.named(order[: np.searchsorted(met, success) + 1]))
+            for mine in index.together(queries / qnorms[:, None]):
+                own = qids[mine], queries[mine], qnorms[mine]
+                units, kth, named = own[1] / own[2][:, None], bounds[mine].copy(), np.zeros((len(mine), len(ids)), bool)
+                new = np.flatnonzero(kth == -np.inf)
+                if len(new):
+                    named[new] = index.named(index.first(index.chances(units[new], np.ones(len(new))), _FIRST * (k + 1) * len(index.functions)))
+                    i, _, s = best(*(c[new] for c in own), named[new], kth[new])
+                    kth[new] = -1.0
+                    last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == k - 1)
+                    kth[new[i[last]]] = s[last]
+                named |= index.named(index.visited(index.chances(units, np.sqrt(np.maximum(0.0, 2 - 2 * kth))), success))
                 if ranked is not None:
-                    ranked.append((len(rows), len(ids)))
-                rows, s = exact(rows)
-                rows, s = rows[s >= bounds[i]], s[s >= bounds[i]]
-                found.append((np.full(len(rows), i), ids[rows], s))
+                    ranked.extend((int(n), len(ids)) for n in named.sum(1))
+                i, j, s = best(*own, named, bounds[mine])
+                found.append((mine[i], ids[j], s))
             return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
         return search
