@@ -82,3 +82,32 @@ def test_claims_are_bound_to_one_item_or_none(spark):
         ("e", "GENERATED_BEHAVIOR", "BOUND"), ("l", "SI_PROCESSING_FAILURE", "BOUND"), ("t1", "GENERATED_BEHAVIOR", "NAME"), ("t2", "GENERATED_BEHAVIOR", "NAME"), ("f", "UNRESOLVED_SOURCE_ASSET", "QUESTION"), ("l", "UNRESOLVED_SOURCE_ASSET", "ASSET"),
     }
     assert claims.claimed_items(local, items, questions, most=1).where("item_id = 'l'").count() == 1
+
+
+@pytest.mark.parametrize("pairs", [0, 50])  # by features and side by side
+def test_claims_find_the_same_items_in_large_and_small_courses(spark, pairs):
+    told = [("c", kind, "REVIEW", subject, path, words, None, None) for kind, subject, path, words in (
+        ("GENERATED_BEHAVIOR", "Lever lab", "Module 1", "a"), ("GENERATED_BEHAVIOR", "Lever lab two", "Module 1", "b"), ("GENERATED_BEHAVIOR", "", "Module 1", "of the Pulley lab, said"), ("GENERATED_BEHAVIOR", "", "Module 2", "of the pulley lab, said"),
+        ("CONTENT_MARKUP_ADAPTATION", "", "Module 1", "of the pulley lab"), ("UNRESOLVED_SOURCE_ASSET", "figure of gears.png", "Module 1", "c"), ("UNRESOLVED_SOURCE_ASSET", "figure of gears.png", "Module 2", "d"),
+    )]
+    claimed = spark.createDataFrame(told, "course string, type string, severity string, subject string, path string, excerpt string, original_type string, original_subject string")
+    items = spark.createDataFrame([("c", "l", "Lever LAB", "Module 1 > A", []), ("c", "p", "Pulley lab", "Module 1", ["Figure of gears"]), ("c", "q", "Pulley lab", "Module 3", None), ("d", "l", "Lever lab", "Module 1", [])], ITEMS)
+    local = claims.localized(claimed, items, pairs=pairs)
+    assert {(r["excerpt"], r["item_id"], r["item_name"], r["method"]) for r in local.collect()} == {
+        ("a", "l", "Lever LAB", "UNIQUE_EXACT_SOURCE_NAME_IN_MODULE"), ("of the Pulley lab, said", "p", "Pulley lab", "UNIQUE_EXPLICIT_SOURCE_NAME_IN_MODULE"),
+        *((x, None, None, None) for x in ("b", "of the pulley lab, said", "of the pulley lab", "c", "d")),
+    }
+    got = claims.claimed_items(local, items, spark.createDataFrame([], "course string, item_id string, prompt string"), pairs=pairs)
+    assert sorted((r["item_id"], r["type"], r["basis"]) for r in got.collect()) == [
+        ("l", "GENERATED_BEHAVIOR", "BOUND"), ("l", "GENERATED_BEHAVIOR", "NAME"), ("p", "GENERATED_BEHAVIOR", "BOUND"), ("p", "UNRESOLVED_SOURCE_ASSET", "ASSET"),
+    ]
+
+
+def test_an_event_told_in_many_reports_is_judged_once(spark):
+    from pyspark.sql import functions as F
+
+    text = "Transformations. Module: M Item: Essay Content Excluded Left out. [ERROR DURING DISTILLATION] of a page. Later"
+    reports = spark.range(50).select(F.col("id").cast("string").alias("course"), F.lit(1).alias("report_id"), F.lit("Author Alignment Report").alias("name"), F.lit("").alias("path"), F.lit(text).alias("text"))
+    rows = claims._read(reports).select(F.coalesce(F.concat_ws(" ", "category", "body"), "body").alias("event"), "failed")
+    assert claims._judged(rows).count() == 3  # the exclusion, the failure in its words, the failure anywhere
+    assert claims.report_claims(reports).groupBy("course").count().where("count = 3").count() == 50

@@ -15,6 +15,8 @@ ADMINISTRATIVE_TITLES = (
 )
 ERROR_PREFIX = r"(?i)^\[error during distillation\]\s*"
 WORD = r"(?<![A-Za-z0-9_])([a-z0-9]+)(?![A-Za-z0-9_])"
+# A run of white space that isn't a single space: the large class is only asked where the character can be in it.
+_RUN = rf"(?=[^ -~]){SPACE}+| (?=[^!-~]){SPACE}+"
 
 
 def _words(values: tuple[str, ...]) -> Column:
@@ -32,12 +34,12 @@ def let(value: Column, use) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """White space of any kind collapsed to single spaces; null is empty."""
-    return F.trim(F.regexp_replace(_text(c), SPACE + "+", " "))
+    return F.trim(F.regexp_replace(_text(c), _RUN, " "))
 
 
 def clean_name(c: Column | str) -> Column:
     """Lower-case letters and digits with single spaces between them."""
-    return F.trim(F.regexp_replace(F.lower(clean_text(c)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", " "))
 
 
 def title_key(c: Column | str) -> Column:
@@ -55,7 +57,7 @@ def path_parts(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(clean_text(c)), F.lit(WORD), 1)
+    return F.regexp_extract_all(F.lower(_text(c)), F.lit(WORD), 1)
 
 
 def token_set(c: Column | str) -> Column:
