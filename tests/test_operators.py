@@ -339,3 +339,20 @@ def test_a_fidelity_of_half_a_percent_goes_up(spark):
     schema = "source_id int, compatible boolean, path_score double, content string, published boolean, " + ", ".join(f"{k} long" for k in counts)
     got = comparison.item_fidelity(spark.createDataFrame([(1, True, None, None, False, *counts.values())], schema)).first()
     assert (got["earned"], got["possible"], got["fidelity"]) == (58.333333, 66.666667, 88)  # 87.5
+
+
+def test_edges_of_blocks_are_those_of_their_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veriframe.operators import matching
+
+    names = ("Red lever", "Red levers", "red lever", "Blue gear", None)
+    rows = [(i, names[i % 5], ("Quiz", "Assessment", None)[i % 3], ("root > A", "A > B", "")[i % 3], f"b{i % 2}", f"c{i % 4}") for i in range(40)]
+    side = lambda name: spark.createDataFrame(rows, f"{name}_id int, name string, type string, path string, x string, y string")
+    source, target, blocks = side("source"), side("target"), F.array("x", "y")
+    want = matching.scored_edges(source, target, matching.candidate_pairs(source, target, blocks)).collect()
+    scored, taken = [], matching._scored
+    monkeypatch.setattr(matching, "_scored", lambda df, cutoff: scored.append(df.count()) or taken(df, cutoff))
+    got = matching.blocked_edges(source, target, blocks).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 100
+    assert scored[0] <= 15 * 15  # forms, not the pairs of rows

@@ -41,12 +41,12 @@ def candidate_pairs(source: DataFrame, target: DataFrame, blocks: Column) -> Dat
     return left.join(right, "block").select("source_id", "target_id").distinct()
 
 
-def scored_edges(source: DataFrame, target: DataFrame, pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """(source_id, target_id, exact_title, compatible, score, path_score) of pairs at or above the cutoff."""
-    form = lambda df, side: df.select(
-        f"{side}_id", text.title_key("name").alias(f"{side}_title"), text.alnum("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"), text.path_form("path").alias(f"{side}_path")
-    )
-    rows = pairs.join(form(source, "source"), "source_id").join(form(target, "target"), "target_id")
+def _form(df: DataFrame, side: str, *keep: str) -> DataFrame:
+    """What a score needs of a row's name, type and path."""
+    return df.select(*keep, text.title_key("name").alias(f"{side}_title"), text.alnum("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"), text.path_form("path").alias(f"{side}_path"))
+
+
+def _scored(rows: DataFrame, cutoff: float) -> DataFrame:
     rows = rows.withColumns({
         "title": text.edit_similarity(F.col("source_name"), F.col("target_name")),
         "path": text.path_similarity(F.col("source_path"), F.col("target_path")),
@@ -54,7 +54,35 @@ def scored_edges(source: DataFrame, target: DataFrame, pairs: DataFrame, cutoff:
         "exact_title": (F.col("source_title") != "") & (F.col("source_title") == F.col("target_title")),
     })
     rows = rows.withColumn("score", text.match_score(F.col("title"), F.col("path"), F.col("compatible"))).where(F.col("score") >= cutoff)
-    return rows.select("source_id", "target_id", "exact_title", "compatible", F.round("score", 9).alias("score_9"), F.round(F.coalesce("path", F.lit(-1.0)), 9).alias("path_9"))
+    return rows.withColumns({"score_9": F.round("score", 9), "path_9": F.round(F.coalesce("path", F.lit(-1.0)), 9)})
+
+
+def scored_edges(source: DataFrame, target: DataFrame, pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """(source_id, target_id, exact_title, compatible, score, path_score) of pairs at or above the cutoff."""
+    rows = pairs.join(_form(source, "source", "source_id"), "source_id").join(_form(target, "target", "target_id"), "target_id")
+    return _scored(rows, cutoff).select("source_id", "target_id", *_RANK)
+
+
+def blocked_edges(source: DataFrame, target: DataFrame, blocks: Column, cutoff: float = CUTOFF) -> DataFrame:
+    """``scored_edges`` of all pairs that share a block, without listing these: rows of the same name, type and path are one form, forms that meet in
+    a block are scored once, and only rows of forms that pass are paired. A pair of several blocks is found in the first of them."""
+    words = ["name", "type", "path"]
+    both = source.select(*words).unionByName(target.select(*words)).distinct()
+    forms = settled(both.select(F.monotonically_increasing_id().alias("form"), *words))
+    equal = lambda df: [df[c].eqNullSafe(F.col(f"f_{c}")) for c in words]
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        named = forms.select(F.col("form").alias(f"{side}_form"), *(F.col(c).alias(f"f_{c}") for c in words))
+        rows = df.where(F.col(f"{side}_id").isNotNull()).withColumn("_blocks", F.array_sort(F.array_distinct(blocks))).join(named, equal(df))
+        return rows.select(f"{side}_id", f"{side}_form", F.col("_blocks").alias(f"{side}_blocks"), F.explode("_blocks").alias("block"))
+
+    s, t = settled(placed(source, "source").distinct()), settled(placed(target, "target").distinct())
+    met = s.select("block", "source_form").distinct().join(t.select("block", "target_form").distinct(), "block").select("source_form", "target_form").distinct()
+    of = lambda side: _form(forms.withColumnRenamed("form", f"{side}_form"), side, f"{side}_form")
+    kept = settled(_scored(met.join(of("source"), "source_form").join(of("target"), "target_form"), cutoff).select("source_form", "target_form", *_RANK))
+    rows = s.join(kept, "source_form").join(t, ["block", "target_form"])
+    first = F.get(F.array_intersect("source_blocks", "target_blocks"), F.lit(0))
+    return rows.where(F.col("block") == first).select("source_id", "target_id", *_RANK)
 
 
 def unambiguous(edges: DataFrame) -> DataFrame:

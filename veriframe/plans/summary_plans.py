@@ -150,13 +150,13 @@ def _halves(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def global_match_plan(spark, sf_dir: str) -> DataFrame:
     """One-to-one plan between two inventories, course by course."""
     source, target = _halves(spark, sf_dir)
-    return matching.match_plan(matching.scored_edges(source, target, matching.candidate_pairs(source, target, F.array("course"))))
+    return matching.match_plan(matching.blocked_edges(source, target, F.array("course")))
 
 
 def match_edges(spark, sf_dir: str) -> DataFrame:
     """Scored edges between two inventories, paths not observed."""
     source, target = (df.withColumn("path", F.lit("")) for df in _halves(spark, sf_dir))
-    return matching.scored_edges(source, target, matching.candidate_pairs(source, target, F.array("course"))).select("source_id", "target_id", "exact_title", "compatible", "score_9")
+    return matching.blocked_edges(source, target, F.array("course")).select("source_id", "target_id", "exact_title", "compatible", "score_9")
 
 
 def top_repeated_titles(spark, sf_dir: str) -> DataFrame:
